@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -9,16 +10,16 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeflow.llm.common import cut, dealt, small_batches, table
 
-#: How a byte-level BPE tokenizer cuts a text into words before merging.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker remembers.
 REMEMBERED = 1_000_000
+#: A space after white space, where a text can't be cut before encoding.
+DOUBTFUL = re.compile(r"\s ")
+CERTAIN = re.compile(r"(?<=\S) ")
 
 _loaded: dict[str, Encoder] = {}
 
@@ -26,8 +27,10 @@ _loaded: dict[str, Encoder] = {}
 class Encoder:
     """Ids of a tokenizers file of byte-level BPE, as little-endian unsigned 32-bit bytes.
 
-    The file's own model encodes each word once; later ones are looked up. The strings
-    of special tokens count as ordinary text.
+    Such a tokenizer never merges over the place between a visible character and the
+    space after it. So a text is cut before those spaces, the file's own tokenizer encodes
+    each word once, and later ones are looked up. The strings of special tokens count
+    as ordinary text.
     """
 
     def __init__(self, path: str):
@@ -35,21 +38,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.known = regex.compile(SPLIT), {}
-
-    def __call__(self, text: str) -> bytes:
-        words = self.words.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
+        self.known: dict[str, bytes] = {}  # without the space in front
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            out.append(np.array(found.ids, "<u4").tobytes())
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids; none for a null."""
+        cut_up = [((CERTAIN.split(t) if DOUBTFUL.search(t) else t.split(" ")) if t else [""]) for t in texts]
+        known, first = self.known, self.ids([x[0] for x in cut_up])
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({w for w in words if w not in known})
-        for w, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        new = list({w for x in cut_up for w in x[1:] if w not in known})
+        known.update(zip(new, self.ids([" " + w for w in new])))
+        return [f + b"".join([known[w] for w in x[1:]]) for f, x in zip(first, cut_up)]
 
 
 def encoder(path: str) -> Encoder:
@@ -69,8 +74,8 @@ def pieces(docs: DataFrame, capacity: int, path: str, end: int = 0) -> DataFrame
         encode, last = encoder(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = (encode(text) if text else b"") + last
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
+                ids += last
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 for k, a in enumerate(range(first - capacity, n, capacity)):
