@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,26 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``. Only a local session
     that names none gets a temporary folder; a cluster without one is an error.
     """
-    sc = df.sparkSession.sparkContext
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set up if need be."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="citeflow-checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
