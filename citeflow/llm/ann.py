@@ -111,12 +111,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: float = PRO
 
     stored = distinct.select("rep", "ids", "embedding", one("shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asked = queries.select(F.col("rep").alias("_rep")).distinct().join(distinct.select("rep", "embedding"), F.col("_rep") == F.col("rep"))
-    asked = asked.select("rep", "embedding", one("block").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = asked.select(F.col("rep").alias("asked"), F.col("embedding").alias("vector"), one("block").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def compare(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(own) and len(ask):
-            x, q = np.stack(own.embedding), np.stack(ask.embedding)
+            x, q = np.stack(own.embedding), np.stack(ask.vector)
             lists, codes = index.value.encode(x)
             members = [np.flatnonzero(lists == c) for c in range(len(index.value.centroids))]
             for at in range(0, len(q), 256):
@@ -137,7 +137,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: float = PRO
                     s = s[np.isfinite(score[i, s])]
                     exact = x[s] @ some[i]
                     best = np.lexsort((own.rep.values[s], -exact))[: k + 1]
-                    found += [(ask.rep.values[at + i], exact[b], own.ids.values[s[b]]) for b in best]
+                    found += [(ask.asked.values[at + i], exact[b], own.ids.values[s[b]]) for b in best]
         return pd.DataFrame(found, columns=["rep", "score", "ids"])
 
     hits = stored.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(compare, "rep long, score double, ids array<long>")
