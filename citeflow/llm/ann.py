@@ -18,7 +18,7 @@ FIT_VECTORS = 16_384
 #: Parts of a residual, codewords of each part, most lists.
 PARTS, WORDS, LISTS = 32, 256, 4096
 #: Share of the lists that a query probes, and candidates of a shard that are reranked exactly.
-PROBED, RERANKED = 0.6, 100
+PROBED, RERANKED = 0.75, 100
 #: Vectors of a shard and queries of a block.
 SHARD, BLOCK = 8192, 4096
 
