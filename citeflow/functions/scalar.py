@@ -64,14 +64,13 @@ def request_timeout(characters: Column, base: int = 180, per_thousand: int = 18,
 
 
 #: Phrases that a model puts before its answer.
-LEAD_INS = ["here is", "here's", "theme:", "the theme is", "based on", "label:"]
+LEAD_INS = ["Here is", "Here's", "The theme is", "Theme:", "A theme could be"]
 
 
 def clean_theme(reply: Column) -> Column:
-    """A short theme out of a model's reply: without lead-in, quotes, further lines and sentences."""
-    lead = "|".join(LEAD_INS)
-    steps = [(r"^\s+|\s+$", ""), (rf"(?i)^(?:{lead})\s*:?\s*", ""), (r"[\"“”]", ""), (r"(?s)\n.*", ""), (r"\.$", "")]
-    text = reduce(lambda x, s: F.regexp_replace(x, *s), steps, reply)
+    """A short theme out of a model's reply: without lead-in, outer quotes, further lines and sentences."""
+    steps = [(rf"(?i)^(?:{'|'.join(LEAD_INS)}):?\s*", ""), (r"^[\"']|[\"']$", ""), (r"(?s)\n.*", ""), (r"\.$", "")]
+    text = reduce(lambda x, s: F.regexp_replace(x, *s), steps, strip(reply))
     return strip(F.element_at(F.split(text, r"\.", -1), 1))
 
 

@@ -14,8 +14,9 @@ from citeflow.functions.scalar import clean_theme, join_ordered, normalise_list,
 
 #: Texts of a community that are its core.
 CORE = 5
-#: The instruction of a prompt.
-INSTRUCTION = "Name the common theme of these abstracts in at most ten words."
+#: The parts of a prompt.
+INSTRUCTION = "You must respond with ONLY a 5-10 word theme name. No explanations, no extra text.\n\n"
+ABOUT, BEFORE, AFTER, ASK = "Research cluster content for community", ":\n", "\n\n", "Theme:"
 
 
 def article_texts(corpus: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def within_budget(rows: DataFrame, threshold: int = 8000) -> DataFrame:
 
 def prompts(rows: DataFrame) -> DataFrame:
     """rows with prompt, from community and theme_text."""
-    return rows.withColumn("prompt", paste(F.lit(INSTRUCTION), F.lit("Community"), F.col("community").cast("string"), F.col("theme_text"), F.lit("Theme:")))
+    return rows.withColumn("prompt", paste(F.lit(INSTRUCTION), F.lit(ABOUT), F.col("community").cast("string"), F.lit(BEFORE), F.col("theme_text"), F.lit(AFTER), F.lit(ASK)))
 
 
 def chunks(rows: DataFrame, size: int) -> DataFrame:
@@ -97,8 +98,8 @@ class RetryPolicy:
 
 
 def first_words(prompt: str, timeout: float) -> str:
-    """A client for tests: the first five words after the instruction."""
-    return " ".join(prompt[len(INSTRUCTION) :].split()[:5])
+    """A client for tests: the first five words of the text."""
+    return " ".join(prompt.split(BEFORE, 1)[-1].split()[:5])
 
 
 class GenerateClient:

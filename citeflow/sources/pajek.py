@@ -131,10 +131,16 @@ def macro(spark: SparkSession, n: int | DataFrame, network: str, partition: str,
         n = n.agg(F.count_distinct("community").alias("n")).first().n
     net, clu, out = (spark.range(1).select(windows_path(F.lit(p)).alias("p")).first().p for p in (network, partition, folder))
     # fixed values: the commands of a macro file
-    head = ["NETBEGIN 1", "CLUBEGIN 1", "PERBEGIN 1", "CLSBEGIN 1", "HIEBEGIN 1", "VECBEGIN 1", "Msg Reading Network", f"N 1 RDN {net}", "Msg Reading Partition", f"C 1 RDC {clu}", "Msg Extracting all networks", f"N {n + 1} EXTNETALL 1 1"]
+    head = ["NETBEGIN 1", "CLUBEGIN 1", "PERBEGIN 1", "CLSBEGIN 1", "HIEBEGIN 1", "VECBEGIN 1", f"% Reading Network   ---    {net}", f"N 1 RDN {net}", f"% Reading Partition   ---    {clu}", f"C 1 RDC {clu}", "% Extracting Subnetworks induced by each selected Cluster", f"N {n + 1} EXTNETALL 1 1 [1-*]"]
     first = spark.createDataFrame(list(enumerate(head, 1)), "ord long, line string")
     k = F.col("id").cast("string")
-    four = F.array(F.concat(F.lit("Msg Degree of community "), k), F.concat(F.lit("V "), k, F.lit(" DEGV "), (F.col("id") + 1).cast("string"), F.lit(" [2]")), F.concat(F.lit("Msg Saving vector "), k), F.concat(F.lit("V "), k, F.lit(" WV "), k, F.lit(f" {out}\\total_degree_community_"), k, F.lit(".vec")))
+    net_k = (F.col("id") + 1).cast("string")
+    saved = F.concat(F.lit(f"{out}\\total_degree_community_"), k, F.lit(".vec"))
+    four = F.array(
+        F.concat(F.lit("% All degree centrality of "), net_k, F.lit(". Subnetwork of N1 induced by C1 ["), k, F.lit("]")),
+        F.concat(F.lit("V "), k, F.lit(" DEGV "), net_k, F.lit(" [2]")),
+        F.concat(F.lit("% Saving vector to file   ---    "), saved),
+        F.concat(F.lit("V "), k, F.lit(" WV "), saved, F.lit(" 0")))
     rest = spark.range(1, n + 1).select("id", F.posexplode(four).alias("p", "line")).select((F.lit(12) + (F.col("id") - 1) * 4 + F.col("p") + 1).alias("ord"), "line")
     return first.unionAll(rest)
 
