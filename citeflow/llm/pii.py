@@ -21,6 +21,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 8
 #: Days from 1900-01-01 within which dates are permuted: 270 times 270.
 DAYS = 270 * 270
+#: Steps of a walk to a date of the same reading; all but one of 10 ** 12 end sooner.
+WALKS = 32
 
 
 def _sql(text: str) -> str:
@@ -100,7 +102,12 @@ def _date(text: str, key: str, inverse: bool) -> str:
     for like, form in formats:
         n = f"datediff(to_date(try_to_timestamp({text}, '{form}')), date'1900-01-01')"
         new = feistel("array(cast(n div 270 as int), cast(n % 270 as int))", "array(270, 270)", key, "'date'", inverse)
-        there = _let("n", n, _let("f", new, f"date_format(date_add(date'1900-01-01', f[0] * 270 + f[1]), '{form}')"))
+        if form == "MM/dd/yyyy":  # only days over 12 are read this way, so permute until there is one again
+            again = _let("n", "w.n", _let("f", new, "named_struct('n', f[0] * 270 + f[1], 'go', day(date_add(date'1900-01-01', f[0] * 270 + f[1])) <= 12)"))
+            walk = f"aggregate(sequence(1, {WALKS}), named_struct('n', n, 'go', true), (w, z) -> if(w.go, {again}, w), w -> w.n)"
+            there = _let("n", n, f"date_format(date_add(date'1900-01-01', {walk}), '{form}')")
+        else:
+            there = _let("n", n, _let("f", new, f"date_format(date_add(date'1900-01-01', f[0] * 270 + f[1]), '{form}')"))
         cases.append(f"when {text} like '{like}' and {n} between 0 and {DAYS - 1} then {there}")
     return f"case {' '.join(cases)} else {text} end"
 
