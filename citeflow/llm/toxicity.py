@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
         grammar.modes |= {"target": max(0.0, rate("target", 1, 1) - plain), "negated": min(0.0, rate("negated", 1, 5) - plain), "reported": min(0.0, rate("reported", 1, 3) - plain)}
         grammar.modes = {k: max(-3.0, min(3.0, v)) for k, v in grammar.modes.items()}
     else:
-        grammar.modes |= {"target": 1.0, "negated": -2.0, "reported": -1.5}
+        grammar.modes |= {"target": 1.0, "negated": -3.0, "reported": -3.0}
     return grammar
 
 
