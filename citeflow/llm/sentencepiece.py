@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeflow.llm.common import dealt, small_batches, table
 
@@ -119,7 +120,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), ids], names=[*(batch.schema.names[i] for i in keep), "ids"])
 
     small_batches(docs.sparkSession)
-    return dealt(docs).mapInArrow(run, docs.drop("ids").schema.add("ids", "array<int>"))
+    return dealt(docs).mapInArrow(run, docs.drop("ids").schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
 def _encoded(tokenizer, texts: list[str | None]) -> Iterator[list[int] | None]:
