@@ -42,7 +42,7 @@ def stems(column):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(text, toxic) of the rows to fit on: those whose id's crc32 modulo 5 is not 0.
+    """(doc_id, text, toxic) of the rows to fit on: those whose id's crc32 modulo 5 is not 0.
 
     Of each class about fit_rows are taken, by a hash of the id, so what is broadcast
     has that bound whatever the tables hold. Null ids, labels and texts take no part.
@@ -51,7 +51,7 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     share = {r.toxic: min(1.0, fit_rows / r.n) for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     limit = F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
     rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < limit * 1_000_000)
-    return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(rows), "doc_id").select("text", "toxic")
+    return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic")
 
 
 class Grammar:
@@ -117,11 +117,35 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
+def cover(of: dict[int, list[str]], odds: dict[str, float], good: dict[str, int], prior: float) -> dict[str, float]:
+    """The stems, with their odds, that between them explain the rows: ``of`` has the candidates in each toxic row.
+
+    A clean row with a stem (``good``) weighs as much as ten toxic ones. A stem needs so many rows that no stem before it explains that chance would give them to one of
+    all candidates in one of a thousand cases at most.
+    """
+    least = max(3, math.ceil(math.log(1000 * max(1, len(odds))) / -math.log(prior)))
+    inside: dict[str, set[int]] = {}
+    for row, held in of.items():
+        for stem in held:
+            inside.setdefault(stem, set()).add(row)
+    taken = {}
+    while inside:
+        best = max(inside, key=lambda k: (len(inside[k]) - 10 * good[k], odds[k], -len(k), k))
+        explained = inside.pop(best)
+        if len(explained) < least:
+            break
+        taken[best] = odds[best]
+        inside = {k: left for k, v in inside.items() if (left := v - explained)}
+    return taken
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int = STEMS) -> Grammar:
     """A grammar whose stems and weights come from labelled rows; without any, its seeds alone.
 
-    A stem is taken if it marks toxic rows beyond chance: the probability that so many
-    of its rows are toxic by chance, times the stems tried, is under 1 %.
+    Stems that mark toxic rows beyond chance are candidates. They are then taken one by
+    one, the one first that explains most toxic rows that no stem explains yet, while
+    these are too many for chance. So words that only stand beside an insult, as in
+    copies of a toxic text, are not learnt.
     """
     rows = labelled(docs, labels, fit_rows)
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -135,13 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
         p = F.col("bad") / n
         bound = F.col("bad") * F.log(p / prior) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - p) / (1 - prior))).otherwise(0.0)
         odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
-        kept = counts.where((F.col("bad") >= 4) & (p > 0.8)).select("stem", "bad", odds.alias("odds"), bound.alias("bound")).where(F.col("bound") > math.log(1e5)).orderBy(F.desc("bound"), F.length("stem"), "stem").limit(most)
-        for r in kept.collect():
-            weights[r.stem] = r.odds
-        strong = {k: v for k, v in weights.items()}
-        for k in strong:  # a longer beginning tells no more than the shorter one that is also a stem
-            if any(k[:n] in strong and strong[k[:n]] >= strong[k] - 1 for n in range(SHORTEST, len(k))):
-                weights.pop(k, None)
+        kept = counts.where((F.col("bad") >= 4) & (p > 0.95)).select("stem", "good", odds.alias("odds"), bound.alias("bound")).where(F.col("bound") > math.log(1e5)).orderBy(F.desc("bound"), F.length("stem"), "stem").limit(most)
+        found = kept.collect()
+        odds, good = {r.stem: r.odds for r in found}, {r.stem: r.good for r in found}
+        held = F.array_intersect(stems(F.col("text")), F.array(*map(F.lit, odds))) if odds else F.array().cast("array<string>")
+        of = {r.doc_id: r.held for r in rows.where("toxic = 1").select("doc_id", held.alias("held")).collect()}
+        weights |= cover(of, odds, good, prior)
     grammar = Grammar(weights, {"plain": 0.0, "target": 0.0, "negated": 0.0, "reported": 0.0}, -1.5)
     if toxic and clean:
         # what each path of the automaton adds, from the same rows, with seeds worth a few rows
