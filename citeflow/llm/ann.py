@@ -118,19 +118,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: float = PRO
         if len(own) and len(ask):
             x, q = np.stack(own.embedding), np.stack(ask.vector)
             lists, codes = index.value.encode(x)
-            members = [np.flatnonzero(lists == c) for c in range(len(index.value.centroids))]
             for at in range(0, len(q), 256):
                 some = q[at : at + 256]
-                probes, tables = index.value.probes(some, probed), index.value.tables(some)
-                near = some @ index.value.centroids.T
-                score = np.full((len(some), len(x)), -np.inf)
-                for c, mine in enumerate(members):
-                    who = np.flatnonzero(probes[:, c])
-                    if len(mine) and len(who):
-                        total = np.repeat(near[who, c][:, None], len(mine), 1)
-                        for part, t in enumerate(tables):
-                            total += t[who[:, None], codes[mine, part][None, :]]
-                        score[who[:, None], mine[None, :]] = total
+                # a row for each vector: adding whole table rows reads memory in order
+                score = (some @ index.value.centroids.T).T.astype(np.float32)[lists]
+                for part, t in enumerate(index.value.tables(some)):
+                    score += np.ascontiguousarray(t.T, np.float32)[codes[:, part]]
+                score[~index.value.probes(some, probed).T[lists]] = -np.inf
+                score = np.ascontiguousarray(score.T)
                 top = min(reranked, len(x))
                 short = np.argpartition(-score, top - 1, axis=1)[:, :top]
                 for i, s in enumerate(short):
