@@ -144,20 +144,22 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -
     return Model(langs, pieces, p)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score, from the text alone; null, empty and letterless texts get ``und`` and 0."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two columns more, language and score, from the text alone; null, empty and letterless texts get ``und`` and 0.
+
+    Columns of docs with these names, in any case, are replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = ("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = sent.value.predict(batch.column("text").to_pylist())
-            keep = [i for i, n in enumerate(batch.schema.names) if n not in names]
+            keep = [i for i, n in enumerate(batch.schema.names) if n.lower() not in {x.lower() for x in names}]
             columns = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *columns], names=[*(batch.schema.names[i] for i in keep), *names])
 
     small_batches(docs.sparkSession)
-    schema = docs.drop(*names).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.drop(*names).schema.add(names[0], "string").add(names[1], "double")
     return dealt(docs).mapInArrow(run, schema)
 
 

@@ -115,7 +115,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "ids"]
+            keep = [i for i, n in enumerate(batch.schema.names) if n.lower() != "ids"]
             ids = pa.array(list(_encoded(load(path), batch.column("text").to_pylist())), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), ids], names=[*(batch.schema.names[i] for i in keep), "ids"])
 
@@ -143,7 +143,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "decoded"]
+            keep = [i for i, n in enumerate(batch.schema.names) if n.lower() != "decoded"]
             ids = batch.column("ids").to_pylist()
             texts = iter(load(path).decode_batch([x for x in ids if x is not None], skip_special_tokens=False))
             out = pa.array([None if x is None else next(texts) for x in ids], pa.string())

@@ -190,13 +190,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
 
 
 def score(docs: DataFrame, grammar: Grammar, column: str = "score") -> DataFrame:
-    """docs with a toxicity score; null and empty texts score as texts without a match."""
+    """docs with a toxicity score; null and empty texts score as texts without a match. A column of that name, in any case, is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = pa.array([sent.value.score(t) for t in batch.column("text").to_pylist()], pa.float64())
-            keep = [i for i, n in enumerate(batch.schema.names) if n != column]
+            keep = [i for i, n in enumerate(batch.schema.names) if n.lower() != column.lower()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), values], names=[*(batch.schema.names[i] for i in keep), column])
 
     small_batches(docs.sparkSession)
