@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeflow.llm import langid, packing, pii, simhash, toxicity
-from citeflow.llm.common import stored, table
+from citeflow.llm.common import fresh, stored, table
 
 #: The key of the pseudonyms; a deployment sets its own.
 KEY = "citeflow"
@@ -21,14 +21,16 @@ LEAST_POSTERIOR = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5; null and empty texts stay."""
-    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), "_toxicity")
-    return found.where("_toxicity < 0.5").drop("_toxicity")
+    score = fresh(docs, "toxicity")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), score)
+    return found.where(F.col(score) < 0.5).select(docs.columns)
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages learnt; texts without a letter go."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_POSTERIOR)).select(docs.columns)
+    lang, score = names = fresh(docs, "lang"), fresh(docs, "posterior")
+    found = langid.identify(docs, langid.fit(docs), names)
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_POSTERIOR)).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +38,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows of one doc_id count as one document, the first by text; rows without a doc_id stay.
     """
-    groups = simhash.near_groups(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    groups, kept_id, place = simhash.near_groups(docs), fresh(docs, "kept"), fresh(docs, "place")
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
     one = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"))
-    known = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    known = known.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
+    known = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(kept_id), "left_semi")
+    known = known.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)
     return known.unionByName(docs.where("doc_id IS NULL"))
 
 
