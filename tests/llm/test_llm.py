@@ -292,3 +292,11 @@ def test_pipeline(spark):
         out = stage(spark, docs.withColumn("extra", F.lit(1)), SF)
         assert set(docs.columns) <= set(out.columns), name
         assert stage(spark, docs.where("false"), SF).count() == 0, name
+
+
+def test_encoder_matches_the_tokenizer_around_white_space():
+    odd = ["", " ", "  ", "\n", "a\n b", "a \n\n b c", "x  y　 z", "one.\n\nTwo three.\nFour", "a  b   c ", "\x1c q\x1f r", "<|endoftext|> <|endoftext|>", "Ġ Ġa ĠĠ", "don't 'll 12 3a", "tab\tq \t z", "a\u0085 b c d", "ends   ", "line\r\nline\r\n"]
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for texts in (odd, [" ".join(odd), "".join(reversed(odd))], odd[::-1]):
+        want = [np.array(x.ids, "<u4").tobytes() for x in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert encode([*texts, None]) == [*want, b""]
