@@ -69,9 +69,10 @@ def trade(spark: SparkSession, sf: str) -> DataFrame:
     return lines.join(sellers, "s_suppkey").join(orders, "o_orderkey").join(buyers, "c_custkey").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def together(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts (src < dst) of one order shipped in the first six weeks, w the number of such orders."""
-    lines = read(spark, sf, "lineitem").where("l_shipdate < timestamp'1995-02-12'").select("l_orderkey", "l_partkey").distinct()
+def together(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Parts (src < dst) of one order, w the number of such orders: of lines shipped in the first six weeks, as in _P, or of all lines."""
+    lines = read(spark, sf, "lineitem")
+    lines = (lines if whole else lines.where("l_shipdate < timestamp'1995-02-12'")).select("l_orderkey", "l_partkey").distinct()
     sets = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("p"))
     first = sets.select("l_orderkey", F.posexplode("p").alias("k", "src"), "p")
     return first.select("src", F.explode(F.slice("p", F.col("k") + 2, F.size("p"))).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("w"))
@@ -92,6 +93,7 @@ _NODES = _FLOW + """, v AS (SELECT row_number() OVER (ORDER BY role, community)
 (SELECT DISTINCT 'sender' AS role, sender_community AS community FROM f UNION ALL SELECT DISTINCT 'target', target_community FROM f))"""
 _N = "t AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), p AS (SELECT n_nationkey AS id, n_regionkey AS community FROM nation)"
 _P = "l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-12'), q AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS w FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL)"
+_ALL = "l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), q AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS w FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL)"
 _LABELS = _C + ", b AS (SELECT 'C' || sender AS source_label, 'P' || target AS target_label, y FROM c), v AS (SELECT row_number() OVER (ORDER BY r, node_label) AS node_id, node_label, CASE r WHEN 0 THEN 'sender' ELSE 'target' END AS role FROM (SELECT node_label, min(r) AS r FROM (SELECT source_label AS node_label, 0 AS r FROM b UNION ALL SELECT target_label, 1 FROM b) GROUP BY 1))"
 
 
@@ -227,6 +229,16 @@ def isolates(spark, sf):
     return network.isolates(read(spark, sf, "part").select(F.col("p_partkey").alias("id")), together(spark, sf))
 
 
+@query(f"WITH {_ALL}, {_thin('q', 2)}")
+def thin_parts_whole(spark, sf):
+    return network.thin(together(spark, sf, whole=True), 2)
+
+
+@query(f"WITH {_ALL} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT src FROM q UNION ALL SELECT dst FROM q)")
+def isolates_whole(spark, sf):
+    return network.isolates(read(spark, sf, "part").select(F.col("p_partkey").alias("id")), together(spark, sf, whole=True))
+
+
 @query(f"WITH {_N} SELECT * FROM t WHERE src IN (SELECT id FROM p WHERE community < 2) AND dst IN (SELECT id FROM p WHERE community < 2)")
 def induced_subgraph(spark, sf):
     return network.induced(trade(spark, sf), nations(spark, sf).where("community < 2"))
@@ -303,6 +315,24 @@ def leiden(spark, sf):
     return network.communities(network.endpoints(edges).select("id").distinct(), edges)
 
 
+@query()
+def components_whole(spark, sf):
+    edges = network.cut(together(spark, sf, whole=True))
+    return network.components(network.endpoints(edges).select("id").distinct(), edges)
+
+
+@query()
+def largest_component_whole(spark, sf):
+    edges = network.cut(together(spark, sf, whole=True))
+    return network.largest_component(network.endpoints(edges).select("id").distinct(), edges)
+
+
+@query()
+def leiden_whole(spark, sf):
+    edges = network.cut(together(spark, sf, whole=True))
+    return network.communities(network.endpoints(edges).select("id").distinct(), edges)
+
+
 @query(f"WITH {_N} SELECT a.n_nationkey AS src, list(coalesce(CAST(t.w AS DOUBLE), 0) ORDER BY b.n_nationkey) AS row FROM nation a CROSS JOIN nation b LEFT JOIN t ON t.src = a.n_nationkey AND t.dst = b.n_nationkey GROUP BY 1")
 def adjacency(spark, sf):
     return network.adjacency(trade(spark, sf), nations(spark, sf))
