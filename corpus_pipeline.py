@@ -7,10 +7,10 @@ of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm import langid, packing, pii, simhash, toxicity
+from citeflow.llm import langid, nearcopies, packing, pii, toxicity
 from citeflow.llm.common import fresh, stored, table
 
 #: The key of the pseudonyms; a deployment sets its own.
@@ -34,16 +34,11 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id.
+    """Of each group of near copies the row with the smallest doc_id, then text.
 
-    Rows of one doc_id count as one document, the first by text; rows without a doc_id stay.
+    The groups are op8's, within 4 of 64 bits, joined with the pairs of five-word Jaccard similarity 0.8 or more.
     """
-    groups, kept_id, place = simhash.near_groups(docs), fresh(docs, "kept"), fresh(docs, "place")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"))
-    known = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(kept_id), "left_semi")
-    known = known.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    return nearcopies.one_of_each(docs)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
