@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from citeflow.llm.common import crc_mod, cut, dealt, small_batches, table, words_of
 
-#: Bits for each entry and probes of the filters; bits that each of the two filters has at most.
-ENTRY_BITS, PROBES, MOST_BITS = 10, 7, 1 << 30
+#: Bits for each entry and probes of the filters, which grow with their entries.
+ENTRY_BITS, PROBES = 10, 7
 #: Word pairs seen less often are left to the unigrams.
 LEAST_PAIR = 2
 #: A word with at least this share of all tokens is frequent: there are 2 ** 19 such words at most.
@@ -104,7 +104,7 @@ def positions(keys: np.ndarray, level: int, probe: int, bits: np.ndarray) -> np.
     return (a + _U(probe) * (mix(a) | _U(1))) % bits
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, least: int, most_bits: int) -> bytes:
+def segment(keys: np.ndarray, counts: np.ndarray, least: int, most_bits: float = math.inf) -> bytes:
     """A part of a filter: each key is put in once for every level up to its count's, so that probing level by level finds it.
 
     Where the entries would need more than most_bits, the least count that is held rises until they fit.
@@ -193,7 +193,7 @@ def gather(texts: DataFrame, bits: int) -> DataFrame:
         kind, bucket = int(rows.kind.iloc[0]), int(rows.bucket.iloc[0])
         keys, n = summed(*blob_columns(list(rows.blob), "<u8", "<i8" if kind == 1 else "<u4"))
         n = n.astype(np.int64)
-        blob = keys.tobytes() + n.tobytes() if kind == 1 else segment(keys, n, LEAST_PAIR, MOST_BITS >> bits)
+        blob = keys.tobytes() + n.tobytes() if kind == 1 else segment(keys, n, LEAST_PAIR)
         return pd.DataFrame([(kind, bucket, len(keys), int(n.sum()), blob)], columns=["kind", "bucket", "n", "total", "blob"])
 
     counted = dealt(texts.select("text")).mapInArrow(run, "kind int, bucket int, blob binary")
@@ -203,8 +203,8 @@ def gather(texts: DataFrame, bits: int) -> DataFrame:
 def score(docs: DataFrame, train) -> DataFrame:
     """docs' (doc_id, n_tokens, n_known, train_tokens, base_score, score, trained) by counts of the rows where ``train`` holds.
 
-    The filters and the frequent words' exact counts are broadcast, each with a fixed bound
-    (MOST_BITS, FREQUENT). Counts of other words, which base_score needs exactly, meet
+    The filters and the frequent words' exact counts are broadcast: the filters hold every word and
+    pair and grow with them, the frequent words have a fixed bound (FREQUENT). Counts of other words, which base_score needs exactly, meet
     the documents' words by hash bucket. A null text counts as empty and has one token,
     the end; without training rows all counts are 0. Words are told apart by 64-bit hashes.
     """
@@ -227,7 +227,7 @@ def score(docs: DataFrame, train) -> DataFrame:
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [segment(*blob_columns([blob], "<u8", "<i8"), 1, MOST_BITS >> bits) for blob in batch.column("blob").to_pylist()]
+            out = [segment(*blob_columns([blob], "<u8", "<i8"), 1) for blob in batch.column("blob").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(out, pa.binary())], names=["bucket", "blob"])
 
     top = unigrams.select("blob").mapInArrow(frequent, "k binary, c binary").collect()
