@@ -18,8 +18,6 @@ from citeflow.llm.common import crc_mod, cut, dealt, small_batches, table, words
 
 #: Bits for each entry and probes of the filters, which grow with their entries.
 ENTRY_BITS, PROBES = 10, 7
-#: Word pairs seen less often are left to the unigrams.
-LEAST_PAIR = 2
 #: A word with at least this share of all tokens is frequent: there are 2 ** 19 such words at most.
 FREQUENT = 2**-19
 #: Strengths of the unigrams against the pairs; a text's probability is the mean of these models'.
@@ -99,9 +97,10 @@ def blob_columns(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(c) if c else np.array([], k) for c, k in zip(parts, kinds)]
 
 
-def positions(keys: np.ndarray, level: int, probe: int, bits: np.ndarray) -> np.ndarray:
+def steps(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of a level begin and how far apart they are, in 64 bits; their upper half is scaled to a segment of under 2 ** 32 bits."""
     a = mix(keys + _U(level * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
-    return (a + _U(probe) * (mix(a) | _U(1))) % bits
+    return a, mix(a) | _U(1)
 
 
 def segment(keys: np.ndarray, counts: np.ndarray, least: int, most_bits: float = math.inf) -> bytes:
@@ -118,9 +117,10 @@ def segment(keys: np.ndarray, counts: np.ndarray, least: int, most_bits: float =
         least = int(LEVELS[min(np.searchsorted(LEVELS, least, side="right"), len(LEVELS) - 1)])
     field, keys = np.zeros(max(bits, 8), bool), keys[kept]
     for j in range(int(level.max(initial=0))):
-        some = keys[level > j]
-        for p in range(PROBES):
-            field[positions(some, j, p, _U(len(field)))] = True
+        at, step = steps(keys[level > j], j)
+        for _ in range(PROBES):
+            field[(at >> _U(32)) * _U(len(field)) >> _U(32)] = True
+            at = at + step
     return int(least).to_bytes(8, "little") + np.packbits(field, bitorder="little").tobytes()
 
 
@@ -141,10 +141,13 @@ class Filter:
         own = (keys >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         first, level, left = np.searchsorted(LEVELS, self.least)[own], np.zeros(len(keys), np.int64), np.arange(len(keys))
         for j in range(len(LEVELS)):
-            for p in range(PROBES):
-                seg = own[left]
-                at = self.start[seg] + positions(keys[left], j, p, self.size[seg]).astype(np.int64)
-                left = left[field[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+            (a, step), size, start = steps(keys[left], j), self.size[own[left]], self.start[own[left]]
+            for _ in range(PROBES):
+                at = start + ((a >> _U(32)) * size >> _U(32)).astype(np.int64)
+                hit = field[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+                if not hit.all():
+                    left, a, step, size, start = left[hit], a[hit], step[hit], size[hit], start[hit]
+                a = a + step
             if not len(left):
                 break
             level[left] = j + 1
@@ -193,7 +196,7 @@ def gather(texts: DataFrame, bits: int) -> DataFrame:
         kind, bucket = int(rows.kind.iloc[0]), int(rows.bucket.iloc[0])
         keys, n = summed(*blob_columns(list(rows.blob), "<u8", "<i8" if kind == 1 else "<u4"))
         n = n.astype(np.int64)
-        blob = keys.tobytes() + n.tobytes() if kind == 1 else segment(keys, n, LEAST_PAIR)
+        blob = keys.tobytes() + n.tobytes() if kind == 1 else segment(keys, n, 1)
         return pd.DataFrame([(kind, bucket, len(keys), int(n.sum()), blob)], columns=["kind", "bucket", "n", "total", "blob"])
 
     counted = dealt(texts.select("text")).mapInArrow(run, "kind int, bucket int, blob binary")
