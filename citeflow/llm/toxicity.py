@@ -26,10 +26,13 @@ FIT_ROWS = 20_000
 #: Stems that a model holds at most; the strongest stay.
 STEMS = 5_000
 SHORTEST, LONGEST = 4, 10
-#: Tokens before an insult in which a negation or a report bears on it.
+#: Tokens after an insult in which a target bears on it.
 REACH = 3
+#: Least weight of a threat that has a target; without one it has its own.
+DIRECT = 4.0
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_TOKEN = re.compile(_WORD.pattern + "|,")
 _STOP = re.compile(r"[.!?;:\n]")
 
 
@@ -60,11 +63,13 @@ class Grammar:
     ``insults`` maps a stem to its weight, a log odds of the label learnt from rows; a
     stem ending in ``$`` is a whole word, others match at the beginning of words.
     ``modes`` holds the weight that each path of the clause automaton adds: plain, with a
-    target, negated, reported.
+    target, negated, reported. A negated or reported match counts for nothing, whatever its
+    weight; a threat (``threats``) counts in full where the clause has a target.
     """
 
     def __init__(self, insults: dict[str, float], modes: dict[str, float], bias: float):
         self.insults, self.modes, self.bias = insults, modes, bias
+        self.threats = frozenset(THREATS)
         self.kinds = {**dict.fromkeys(TARGETS, "target"), **dict.fromkeys(NEGATIONS, "negated"), **dict.fromkeys(REPORTS, "reported")}
         self._machine = None
 
@@ -99,11 +104,14 @@ class Grammar:
             stop = [m.end() for m in _STOP.finditer(text, max(0, start - 200), start)]
             begin = stop[-1] if stop else max(0, start - 200)
             close = _STOP.search(text, start, start + 200)
-            before = [self.kinds.get(w) for w in _WORD.findall(text, begin, start)]
+            before = ["comma" if w == "," else self.kinds.get(w) for w in _TOKEN.findall(text, begin, start)]
             after = [self.kinds.get(w) for w in _WORD.findall(text, start, close.start() if close else min(len(text), start + 200))]
             state = "plain"
-            for kind in before[-REACH:]:  # transitions: a negation or report holds on, a target gives way to them
-                state = kind if kind in ("negated", "reported") else "target" if kind == "target" and state == "plain" else state
+            for kind in before:  # transitions: a report holds on to the clause's end, a negation to a comma, a target gives way to them
+                if kind in ("negated", "reported") and state != "reported":
+                    state = kind
+                elif kind == "comma" and state == "negated":
+                    state = "plain"
             if state == "plain" and "target" in [*before, *after[1 : REACH + 1]]:
                 state = "target"
             found.append((stem, state))
@@ -113,7 +121,8 @@ class Grammar:
         """From 0 to 1, over 0.5 where the matched clauses' weights outweigh the bias."""
         total = self.bias
         for stem, mode in set(self.clauses(text or "")):
-            total += max(0.0, self.insults[stem] + self.modes[mode])
+            weight = max(self.insults[stem], DIRECT) if mode == "target" and stem in self.threats else self.insults[stem]
+            total += max(0.0, weight + self.modes[mode])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
@@ -165,9 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
         held = F.array_intersect(stems(F.col("text")), F.array(*map(F.lit, odds))) if odds else F.array().cast("array<string>")
         of = {r.doc_id: r.held for r in rows.where("toxic = 1").select("doc_id", held.alias("held")).collect()}
         weights |= cover(of, odds, good, prior)
-    grammar = Grammar(weights, {"plain": 0.0, "target": 0.0, "negated": 0.0, "reported": 0.0}, -1.5)
+    grammar = Grammar(weights, {"plain": 0.0, "target": 0.0, "negated": -math.inf, "reported": -math.inf}, -1.5)
     if toxic and clean:
-        # what each path of the automaton adds, from the same rows, with seeds worth a few rows
+        # what a target adds, from the same rows, with seeds worth a few rows
         small_batches(rows.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
         seen = {r["mode"]: (r.bad, r.n) for r in rows.mapInArrow(run, "mode string, bad long").groupBy("mode").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect()}
         rate = lambda mode, bad0, good0: math.log(((seen.get(mode, (0, 0))[0]) + bad0) / (seen.get(mode, (0, 0))[1] - seen.get(mode, (0, 0))[0] + good0))
         plain = rate("plain", 1, 1)
-        grammar.modes |= {"target": max(0.0, rate("target", 1, 1) - plain), "negated": min(0.0, rate("negated", 1, 5) - plain), "reported": min(0.0, rate("reported", 1, 3) - plain)}
-        grammar.modes = {k: max(-3.0, min(3.0, v)) for k, v in grammar.modes.items()}
+        grammar.modes["target"] = max(0.0, min(3.0, rate("target", 1, 1) - plain))
     else:
-        grammar.modes |= {"target": 1.0, "negated": -3.0, "reported": -3.0}
+        grammar.modes["target"] = 1.0
     return grammar
 
 
