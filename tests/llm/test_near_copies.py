@@ -55,3 +55,10 @@ def test_small_tables(spark):
     rows = docs.collect()
     label = brute([r.text or "" for r in rows])
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {rows[k].doc_id for k in set(label)}
+
+
+def test_null_and_repeated_ids(spark):
+    long = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(None, long("a")), (None, long("a")), (None, long("b")), (3, long("c")), (3, long("d")), (3, long("d")), (1, long("c")), (5, long("b"))]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, long("a")), (5, long("b")), (1, long("c")), (3, long("d"))], key=str)
