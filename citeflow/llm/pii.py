@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from citeflow.llm.common import table
 
-#: What is looked for, in Java regular expressions, most specific first.
+#: The session's setting that names the key, and the key of sessions that don't set it, as in tests.
+KEY_SETTING, TEST_KEY = "spark.citeflow.pseudonymKey", "citeflow"
+
+#: What is looked for, in Java regular expressions, most specific first. Java's
+#: matcher recurses over repeated groups, so each has a bound: a domain has 127 labels at most.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}+",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "date": r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)",
     "national": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?<!\d)\d(?:(?:[ -](?!\d{4}-\d{2}-\d{2}(?!\d)))?\d){12,18}(?!\d)",
     "secret": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])|(?i:password|passwd|secret|token|api_key|apikey)\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{8,}+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -82,10 +87,59 @@ def _refill(text: str, digits: str) -> str:
 
 
 def _card(text: str, key: str, inverse: bool) -> str:
-    payload = "slice(d, 1, size(d) - 1)"
-    new = feistel(payload, "transform(slice(d, 1, size(d) - 1), x -> 10)", key, "'card'", inverse)
-    checked = _let("e", new, f"concat(e, array(cast((10 - {_luhn('concat(e, array(0))')}) % 10 as int)))")
-    return _let("d", _digits_of(text), f"if({_luhn('d')} = 0, {_refill(text, checked)}, {text})")
+    """The longest run of whole groups of digits that is a valid number, the first among equals, gets another valid one.
+
+    The permutation goes on until no run before it is valid, so the inverse finds the same run.
+    """
+    lengths, n = f"transform(split({text}, '[ -]'), x -> length(x))", "cast(size(ls) as int)"
+    starts = f"transform(sequence(0, {n} - 1), i -> aggregate(slice(ls, 1, i), 0, (a, x) -> a + x))"
+    every = f"flatten(transform(sequence(0, {n} - 1), i -> transform(sequence(i, {n} - 1), j -> named_struct('m', ss[i] - ss[j] - ls[j], 'a', ss[i]))))"
+    runs = _let("ls", lengths, _let("ss", starts, f"array_sort(filter({every}, r -> r.m between -19 and -13))"))
+
+    def first(digits: str) -> str:
+        return f"get(filter(rs, r -> {_luhn(f'slice({digits}, r.a + 1, -r.m)')} = 0), 0)"
+
+    payload = "slice(w.d, c.a + 1, -c.m - 1)"
+    new = feistel(payload, f"transform({payload}, x -> 10)", key, "'card'", inverse)
+    checked = _let("e", new, f"concat(slice(w.d, 1, c.a), e, array(cast((10 - {_luhn('concat(e, array(0))')}) % 10 as int)), slice(w.d, c.a - c.m + 1, 19))")
+    step = _let("g", checked, f"named_struct('d', g, 'go', {first('g')} <> c)")
+    walk = f"aggregate(sequence(1, {WALKS}), named_struct('d', d, 'go', true), (w, z) -> if(w.go, {step}, w), w -> w.d)"
+    found = _let("c", first("d"), f"if(c is null, {text}, {_refill(text, walk)})")
+    return _let("d", _digits_of(text), _let("rs", runs, found))
+
+
+def _national(text: str, key: str, inverse: bool) -> str:
+    """Area 001 to 899 but 666, group 01 to 99 and serial 0001 to 9999 are permuted among themselves; numbers that break a rule, among those that break the same."""
+    good = "(nv[0] between 1 and 899 and nv[0] <> 666)"
+    area = f"if({good}, if(nv[0] < 666, nv[0] - 1, nv[0] - 2), if(nv[0] = 0, 0, if(nv[0] = 666, 1, nv[0] - 898)))"
+    group = f"if({good} and nv[1] > 0, nv[1] - 1, nv[1])"
+    serial = f"if({good} and nv[1] > 0 and nv[2] > 0, nv[2] - 1, nv[2])"
+    radices = f"array(if({good}, 898, 102), if({good}, if(nv[1] > 0, 99, 1), 100), if({good} and nv[1] > 0, if(nv[2] > 0, 9999, 1), 10000))"
+    back = [f"lpad(cast(if({good}, if(f[0] < 665, f[0] + 1, f[0] + 2), if(f[0] = 0, 0, if(f[0] = 1, 666, f[0] + 898))) as string), 3, '0')",
+            f"lpad(cast(if({good} and nv[1] > 0, f[1] + 1, f[1]) as string), 2, '0')",
+            f"lpad(cast(if({good} and nv[1] > 0 and nv[2] > 0, f[2] + 1, f[2]) as string), 4, '0')"]
+    new = feistel(f"array({area}, {group}, {serial})", radices, key, "'national'", inverse)
+    return _let("nv", f"transform(split({text}, '-'), x -> cast(x as int))", _let("f", new, f"concat_ws('-', {', '.join(back)})"))
+
+
+def _phone(text: str, key: str, inverse: bool) -> str:
+    """The country's code stays; area and exchange, which begin with 2 to 9, do so afterwards, and others don't."""
+    head = _sql("^([+][0-9]{1,3}(?=[0-9]{10}$)|[+][0-9]+[ .(-])?")
+    lead = "(i = size(d) - 10 or i = size(d) - 7)"
+    values, radices = f"transform(d, (x, i) -> if({lead} and x > 1, x - 2, x))", f"transform(d, (x, i) -> if({lead}, if(x > 1, 8, 2), 10))"
+    new = _let("f", feistel(values, radices, key, "'phone'", inverse), f"transform(d, (x, i) -> if({lead} and x > 1, f[i] + 2, f[i]))")
+    return _let("a", f"regexp_extract({text}, {head}, 0)", _let("b2", f"substring({text}, length(a) + 1)", _let("d", _digits_of("b2"), f"concat(a, {_refill('b2', new)})")))
+
+
+def _iban(text: str, key: str, inverse: bool) -> str:
+    """Country and format stay, the check digits are worked out anew; what fails the check modulo 97 stays as it is."""
+    def rest(body: str, check: str) -> str:
+        number = f"instr('{_DIGIT}{_UPPER}', c) - 1"
+        return f"aggregate(transform(split(concat(replace({body}, ' ', ''), substring({text}, 1, 2), {check}), ''), c -> {number}), 0, (s, x) -> if(x > 9, s * 100 + x, s * 10 + x) % 97)"
+
+    body = f"substring({text}, 5)"
+    new = _let("n2", _characters(body, key, _sql("iban"), inverse), f"concat(substring({text}, 1, 2), lpad(cast(98 - {rest('n2', _sql('00'))} as string), 2, '0'), n2)")
+    return f"if({rest(body, f'substring({text}, 3, 2)')} = 1, {new}, {text})"
 
 
 def _ip(text: str, key: str, inverse: bool) -> str:
@@ -127,8 +181,9 @@ def pseudonym(text: str, key: str, inverse: bool = False) -> str:
         when {text} rlike {whole('secret')} then {_secret(text, key, inverse)}
         when {text} rlike {whole('ip')} then {_ip(text, key, inverse)}
         when {text} rlike {whole('date')} then {_date(text, key, inverse)}
-        when {text} rlike {whole('national')} then {_characters(text, key, _sql('national'), inverse)}
-        when {text} rlike {whole('phone')} then {_let("a", f"regexp_extract({text}, '^([+][0-9]+[ .(-]|[+][0-9](?=[0-9]{{10}}$))?', 0)", f"concat(a, {_characters(f'substring({text}, length(a) + 1)', key, _sql('phone'), inverse)})")}
+        when {text} rlike {whole('national')} then {_national(text, key, inverse)}
+        when {text} rlike {whole('phone')} then {_phone(text, key, inverse)}
+        when {text} rlike {whole('iban')} then {_iban(text, key, inverse)}
         when {text} rlike {whole('card')} then {_card(text, key, inverse)}
         else {text} end"""
 
@@ -139,8 +194,9 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text", found: str | N
     The permutation depends on the key and the kind of value only, so equal values get
     equal pseudonyms in all documents, and different ones stay different; with
     ``inverse`` it is undone. ``found`` names a column for the number of places that
-    look personal. Null texts stay null, empty ones empty; rows are neither
-    dropped nor merged.
+    look personal; a column of that name is replaced. Null texts stay null, empty ones empty, texts
+    of any length are read whole; rows are neither dropped nor merged, and other columns stay. An empty
+    table gives no rows. Seven-digit local phone numbers are not looked for.
     """
     c = f"`{column}`"
     pattern = _sql(ANY)
@@ -151,6 +207,11 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text", found: str | N
     return docs.withColumn(column, F.expr(f"if(coalesce({maybe}, false), {new}, {c})"))
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key that the session sets, else the tests' key."""
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, "citeflow", found="n_found").select("doc_id", "n_found", "text")
+    return pseudonymise(docs, key_of(spark), found="n_found").select("doc_id", "n_found", "text")
