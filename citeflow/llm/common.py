@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,17 +52,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Let Arrow batches hold at most this many rows, as texts may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows or int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 0:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches, of at most so many rows, as what Python makes of a text may be much larger than the text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """df in as many partitions as a local session has cores, if it is read in fewer."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    return df.repartition(want) if spark.sparkContext.master.startswith("local[") and df.rdd.getNumPartitions() < want else df
+    """df in as many partitions as the session has cores, if it is read in fewer, as a small file is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
 def crc_mod(column, n: int):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import crc_mod, dealt, small_batches, table
+from citeflow.llm.common import crc_mod, dealt, small, table
 
 #: Training documents of each language, in expectation, and its most frequent words that a model is fitted on.
 FIT_DOCS, FIT_WORDS, ROUNDS = 3_000, 30_000, 4
@@ -152,13 +152,12 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = sent.value.predict(batch.column("text").to_pylist())
             keep = [i for i, n in enumerate(batch.schema.names) if n.lower() not in {x.lower() for x in names}]
             columns = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *columns], names=[*(batch.schema.names[i] for i in keep), *names])
 
-    small_batches(docs.sparkSession)
     schema = docs.drop(*names).schema.add(names[0], "string").add(names[1], "double")
     return dealt(docs).mapInArrow(run, schema)
 

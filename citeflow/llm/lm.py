@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import crc_mod, cut, dealt, small_batches, table, words_of
+from citeflow.llm.common import crc_mod, cut, dealt, small, table, words_of
 
 #: Bits for each entry and probes of the filters, which grow with their entries.
 ENTRY_BITS, PROBES = 10, 7
@@ -180,7 +180,7 @@ def gather(texts: DataFrame, bits: int) -> DataFrame:
             columns = list(zip(*rows)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["kind", "bucket", "blob"])
 
-        for batch in batches:
+        for batch in small(batches):
             ids, _ = words.read(batch.column("text").to_pylist())
             singles.append(ids[1:])
             pairs.append(ids[:-1] << 32 | ids[1:])
@@ -212,7 +212,6 @@ def score(docs: DataFrame, train) -> DataFrame:
     the end; without training rows all counts are 0. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(train, F.lit(False)).alias("trained"))
     n_docs = rows.count()
     bits = max(5, min(16, math.ceil(math.log2(max(1, n_docs / 1024)))))
@@ -223,13 +222,13 @@ def score(docs: DataFrame, train) -> DataFrame:
     least = max(1, n * FREQUENT)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keys, c = blob_columns(batch.column("blob").to_pylist(), "<u8", "<i8")
             often = c >= least
             yield pa.RecordBatch.from_arrays([pa.array([keys[often].tobytes()], pa.binary()), pa.array([c[often].tobytes()], pa.binary())], names=["k", "c"])
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = [segment(*blob_columns([blob], "<u8", "<i8"), 1) for blob in batch.column("blob").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(out, pa.binary())], names=["bucket", "blob"])
 
@@ -256,7 +255,7 @@ def score(docs: DataFrame, train) -> DataFrame:
             order = np.argsort(h)
             return [{"kind": 1, "bucket": b, "blob": blob} for _, b, blob in bucket_rows(1, bits, h[order], k[order], c[order])]
 
-        for batch in batches:
+        for batch in small(batches):
             if len(words.hashes) > REMEMBERED:
                 words.clear()
                 exact = known = np.array([])

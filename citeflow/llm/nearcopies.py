@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeflow.llm import simhash
-from citeflow.llm.common import components, cut, dealt, fresh, small_batches, words_of
+from citeflow.llm.common import components, cut, dealt, fresh, small, words_of
 
 #: Words in a shingle, and the similarity from which two texts are near copies.
 SHINGLE, LEAST = 5, 0.8
@@ -99,7 +99,7 @@ def near_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     wanted = shared.groupBy("key").agg(F.collect_list("band").alias("shared")).join(group.select(F.col("node").alias("key"), F.col("root").alias("group")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             blobs = pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "group", "shared")), blobs], names=["key", "group", "shared", "blob"])
 
@@ -124,12 +124,11 @@ def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     key, row = fresh(docs, "key"), fresh(docs, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             fps = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps), pa.array([bands(shingles(t)) for t in texts], pa.list_(pa.int64()))], names=["key", "fp", "bands"])
 
-    small_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     sketches = cut(dealt(texts).mapInArrow(run, "key long, fp long, bands array<long>").dropDuplicates(["key"]))
     fps = sketches.groupBy("fp").agg(F.min("key").alias("least"))

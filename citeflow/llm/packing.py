@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import cut, dealt, small_batches, table
+from citeflow.llm.common import cut, dealt, small, table
 
 #: Words whose ids a worker remembers.
 REMEMBERED = 1_000_000
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, end: int = 0) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = encoder(path), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 ids += last
@@ -83,7 +83,6 @@ def pieces(docs: DataFrame, capacity: int, path: str, end: int = 0) -> DataFrame
                     out.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] or [pa.array([], pa.int64())] * 5, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    small_batches(docs.sparkSession)
     rows = dealt(docs.select(F.col("doc_id").cast("long"), "text"))
     return rows.mapInArrow(run, "doc_id long, piece long, start long, length long, ids_crc32 long")
 
@@ -169,7 +168,7 @@ def pack(rows: DataFrame, capacity: int, salts: int = 256) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = sent.value
         at = places[:, 0] << 44 | places[:, 1]
-        for batch in batches:
+        for batch in small(batches):
             length, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", "rank"))
             mine = places[np.searchsorted(at, length << 44 | rank, side="right") - 1] if len(length) else np.zeros((0, 5), np.int64)
             where = [mine[:, 3] + rank - mine[:, 1], mine[:, 4]]

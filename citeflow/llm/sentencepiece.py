@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeflow.llm.common import dealt, small_batches, table
+from citeflow.llm.common import dealt, small, table
 
 MARK = "▁"
 #: Field numbers of the public sentencepiece model protobuf.
@@ -114,12 +114,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keep = [i for i, n in enumerate(batch.schema.names) if n.lower() != "ids"]
             ids = pa.array(list(_encoded(load(path), batch.column("text").to_pylist())), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), ids], names=[*(batch.schema.names[i] for i in keep), "ids"])
 
-    small_batches(docs.sparkSession)
     return dealt(docs).mapInArrow(run, docs.drop("ids").schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
@@ -142,14 +141,13 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keep = [i for i, n in enumerate(batch.schema.names) if n.lower() != "decoded"]
             ids = batch.column("ids").to_pylist()
             texts = iter(load(path).decode_batch([x for x in ids if x is not None], skip_special_tokens=False))
             out = pa.array([None if x is None else next(texts) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), out], names=[*(batch.schema.names[i] for i in keep), "decoded"])
 
-    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, rows.drop("decoded").schema.add("decoded", "string"))
 
 
@@ -163,7 +161,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        for batch in batches:
+        for batch in small(batches):
             texts, n, crc, same = batch.column("text").to_pylist(), [], [], []
             for text, ids in zip(texts, _encoded(tokenizer, texts)):
                 if ids is None:
@@ -175,7 +173,6 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 same.append(tokenizer.decode(ids, skip_special_tokens=False) == (back[1:] if back[:1] == " " else back))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "same"])
 
-    small_batches(docs.sparkSession)
     return dealt(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, same boolean")
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import components, cut, dealt, small_batches, table, words_of
+from citeflow.llm.common import components, cut, dealt, small, table, words_of
 
 #: Distinct fingerprints of one bucket that are compared in one group; larger buckets are dealt out over pairs of blocks.
 BLOCK = 4096
@@ -37,11 +37,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     """(doc_id, fp) for each row of docs; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fps = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
     return dealt(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, fp long")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import crc_mod, dealt, small_batches, table
+from citeflow.llm.common import crc_mod, dealt, small, table
 
 #: Words of the grammar's classes, lower case. Insults and threats are only
 #: seeds; the labelled rows add the rest.
@@ -177,10 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
     grammar = Grammar(weights, {"plain": 0.0, "target": 0.0, "negated": -math.inf, "reported": -math.inf}, -1.5)
     if toxic and clean:
         # what a target adds, from the same rows, with seeds worth a few rows
-        small_batches(rows.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 modes, bad = [], []
                 for text, toxic_ in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                     for mode in {m for _, m in grammar.clauses(text)}:
@@ -202,12 +201,11 @@ def score(docs: DataFrame, grammar: Grammar, column: str = "score") -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             values = pa.array([sent.value.score(t) for t in batch.column("text").to_pylist()], pa.float64())
             keep = [i for i, n in enumerate(batch.schema.names) if n.lower() != column.lower()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), values], names=[*(batch.schema.names[i] for i in keep), column])
 
-    small_batches(docs.sparkSession)
     schema = docs.drop(column).schema.add(column, "double")
     return dealt(docs).mapInArrow(run, schema)
 
