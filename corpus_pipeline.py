@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 from citeflow.llm import langid, nearcopies, packing, pii, toxicity
 from citeflow.llm.common import fresh, stored, table
 
-#: The key of the pseudonyms; a deployment sets its own.
-KEY = "citeflow"
-#: A document stays if its language's posterior is at least this.
-LEAST_POSTERIOR = 0.5
+#: A document goes if the posterior of none of the languages learnt is over this.
+MOST_UNKNOWN = 0.9
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages learnt; texts without a letter go."""
-    lang, score = names = fresh(docs, "lang"), fresh(docs, "posterior")
+    """Documents whose text is likelier in one of the languages learnt than in none; texts without a letter go."""
+    lang, _, none = names = fresh(docs, "lang"), fresh(docs, "posterior"), fresh(docs, "none")
     found = langid.identify(docs, langid.fit(docs), names)
-    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_POSTERIOR)).select(docs.columns)
+    return found.where((F.col(lang) != "und") & (F.col(none) <= MOST_UNKNOWN)).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal values replaced by pseudonyms of the same format."""
-    return pii.pseudonymise(docs, KEY)
+    return pii.pseudonymise(docs, pii.key_of(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
