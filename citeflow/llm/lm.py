@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -18,15 +19,14 @@ from citeflow.llm.common import crc_mod, cut, dealt, small, table, words_of
 
 #: Bits for each entry and probes of the filters, which grow with their entries.
 ENTRY_BITS, PROBES = 10, 7
-#: A word with at least this share of all tokens is frequent: there are 2 ** 19 such words at most.
-FREQUENT = 2**-19
 #: Strengths of the unigrams against the pairs; a text's probability is the mean of these models'.
 STRENGTHS = (math.inf, 3000.0, 100.0, 4.0)
-#: Tokens that a worker counts before it passes its counts on, and words it remembers.
-HELD, REMEMBERED = 4_000_000, 1_500_000
+#: Tokens of a chunk of documents, which is numbered, counted and scored in one piece; keys of a range of hashes, in expectation.
+CHUNK, RANGE = 4_000_000, 1 << 18
 #: Counts that the filter can tell apart: exact up to 8, then growing by an eighth.
 LEVELS = np.unique(np.r_[np.arange(1, 9), np.floor(8 * 1.125 ** np.arange(1, 200))]).astype(np.int64)
 #: The count that stands for a level: the geometric middle of those that it covers.
+FLOORS, CEILINGS = np.r_[0, LEVELS].astype(float), np.r_[0, LEVELS[1:] - 1, LEVELS[-1]].astype(float)
 MIDDLES = np.r_[0.0, np.sqrt(1.0 * LEVELS * np.maximum(LEVELS, np.r_[LEVELS[1:] - 1, LEVELS[-1]]))]
 
 END = xxhash.xxh64_intdigest(b"end of text", 7)  # no word has a space
@@ -43,32 +43,6 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a) + b * _U(0x9E3779B97F4A7C15))
 
 
-class Words:
-    """Small numbers for words, with the words' hashes; number 0 is the end of a text."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        from collections import defaultdict
-
-        self.numbers = defaultdict(count(1).__next__)
-        self.hashes = np.array([END], _U)
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all tokens, an end before the first text and after each, and where each text's tokens begin."""
-        out, starts, get = [0], [], self.numbers.__getitem__
-        for t in texts:
-            starts.append(len(out))
-            out += map(get, words_of(t))
-            out.append(0)
-        known = len(self.hashes)
-        if len(self.numbers) >= known:
-            new = list(self.numbers)[known - 1 :]
-            self.hashes = np.r_[self.hashes, np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in new), _U, len(new))]
-        return np.array(out, np.int64), np.array(starts, np.int64)
-
-
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their values."""
     if not len(keys):
@@ -79,22 +53,13 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[new], np.add.reduceat(values, new)
 
 
-def bucket_rows(kind: int, bits: int, keys: np.ndarray, *more: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(kind, bucket, blob) for sorted keys, by their first bits; blobs hold the columns one after the other."""
-    edges = np.searchsorted(keys, (np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else np.array([], _U))
-    edges = np.r_[0, edges, len(keys)]
-    return [(kind, b, b"".join(x[lo:hi].tobytes() for x in (keys, *more))) for b, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True) if len(x) else b""
 
 
-def blob_columns(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
-    """The columns of blobs, put together."""
-    width, parts = sum(np.dtype(k).itemsize for k in kinds), [[] for _ in kinds]
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for column, kind in zip(parts, kinds):
-            column.append(np.frombuffer(blob, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(c) if c else np.array([], k) for c, k in zip(parts, kinds)]
+def unpacked(blob: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.array([], kind)
 
 
 def steps(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +100,8 @@ class Filter:
         self.start = np.r_[0, np.cumsum(self.size)[:-1]].astype(np.int64)
         self.field = b"".join(p[8:] for p in parts)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of each key's level; 0 for keys that are not in the filter."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's level, from 1; 0 for keys that are not in the filter."""
         field = np.frombuffer(self.field, np.uint8)
         own = (keys >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         first, level, left = np.searchsorted(LEVELS, self.least)[own], np.zeros(len(keys), np.int64), np.arange(len(keys))
@@ -151,167 +116,153 @@ class Filter:
             if not len(left):
                 break
             level[left] = j + 1
-        return np.where(level > 0, MIDDLES[np.minimum(first + level, len(LEVELS))], 0.0)
+        return np.where(level > 0, np.minimum(first + level, len(LEVELS)), 0)
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The middle of each key's level."""
+        return MIDDLES[self.levels(keys)]
 
-def gather(texts: DataFrame, bits: int) -> DataFrame:
-    """(kind, bucket, n, total, blob): merged counts of words (kind 1) and the pair filter's segments (kind 2).
 
-    Every task sums its own counts, so a word or pair that is everywhere arrives once from
-    each task; what arrives in a bucket is a range of hashes.
-    """
-    def tell(words, singles, pairs):
-        if not singles:
-            return []
-        total = np.zeros(len(words.hashes), np.int64)
-        for ids in singles:
-            total += np.bincount(ids, minlength=len(total))
-        k, c = summed(words.hashes, total)
-        out = bucket_rows(1, bits, k[c > 0], c[c > 0])
-        codes, c = np.unique(np.concatenate(pairs), return_counts=True)
-        h = pair_hash(words.hashes[codes >> 32], words.hashes[codes & 0xFFFFFFFF])
-        order = np.argsort(h)
-        return out + bucket_rows(2, bits, h[order], c[order].astype(np.uint32))
+CHUNKS = "chunk long, words binary, tokens binary, lengths binary, ids binary, flags binary, n_words long, n_tokens long"
 
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, trained) as chunks of about CHUNK tokens: the hashes of a chunk's words, the end first, and its documents as numbers of words, each with an end; flags are 1 for training rows, 2 for null ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, singles, pairs, held = Words(), [], [], 0
+        schema = pa.schema([("chunk", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("flags", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
+        made = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        numbers, held, docs, n = defaultdict(count(1).__next__), [], [], 0
 
-        def batch_of(rows):
-            columns = list(zip(*rows)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["kind", "bucket", "blob"])
+        def chunk():
+            words = np.r_[_U(END), np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in numbers), _U, len(numbers))]
+            tokens = np.concatenate(held)
+            lengths = np.fromiter(map(len, held), np.uint32, len(held))
+            return pa.RecordBatch.from_pylist([{"chunk": made, "words": words.tobytes(), "tokens": packed(tokens), "lengths": lengths.tobytes(), "ids": np.array([d or 0 for d, _ in docs], "<i8").tobytes(), "flags": bytes(t + 2 * (d is None) for d, t in docs), "n_words": len(words), "n_tokens": len(tokens)}], schema=schema)
 
         for batch in small(batches):
-            ids, _ = words.read(batch.column("text").to_pylist())
-            singles.append(ids[1:])
-            pairs.append(ids[:-1] << 32 | ids[1:])
-            held += len(ids)
-            if held > HELD:
-                yield batch_of(tell(words, singles, pairs))
-                singles, pairs, held = [], [], 0
-                if len(words.hashes) > REMEMBERED:
-                    words.clear()
-        yield batch_of(tell(words, singles, pairs))
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        kind, bucket = int(rows.kind.iloc[0]), int(rows.bucket.iloc[0])
-        keys, n = summed(*blob_columns(list(rows.blob), "<u8", "<i8" if kind == 1 else "<u4"))
-        n = n.astype(np.int64)
-        blob = keys.tobytes() + n.tobytes() if kind == 1 else segment(keys, n, 1)
-        return pd.DataFrame([(kind, bucket, len(keys), int(n.sum()), blob)], columns=["kind", "bucket", "n", "total", "blob"])
-
-    counted = dealt(texts.select("text")).mapInArrow(run, "kind int, bucket int, blob binary")
-    return counted.groupBy("kind", "bucket").applyInPandas(merge, "kind int, bucket int, n long, total long, blob binary")
+            for text, *doc in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "trained"))):
+                found = words_of(text)
+                found = np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))
+                held.append(np.r_[found, np.uint32(0)])
+                docs.append(doc)
+                n += len(held[-1])
+                if n >= CHUNK:
+                    yield chunk()
+                    made, numbers, held, docs, n = made + 1, defaultdict(count(1).__next__), [], [], 0
+        if held:
+            yield chunk()
+
+    return dealt(docs).mapInArrow(run, CHUNKS)
+
+
+class Chunk:
+    """A chunk's tokens, words and pairs, the latter two in the order of their hashes."""
+
+    def __init__(self, words: bytes, tokens: bytes, lengths: bytes, flags: bytes, n_tokens: int):
+        self.hashes, self.lengths = np.frombuffer(words, _U), np.frombuffer(lengths, np.uint32).astype(np.int64)
+        self.tokens = unpacked(tokens, "<u4", n_tokens).astype(np.int64)
+        codes, where = np.unique(np.r_[0, self.tokens[:-1]] << 32 | self.tokens, return_inverse=True)
+        a, b = codes >> 32, codes & 0xFFFFFFFF
+        h = pair_hash(self.hashes[a], self.hashes[b])
+        self.words, pairs = np.argsort(self.hashes), np.argsort(h)
+        place = np.empty(len(pairs), np.int64)
+        place[pairs] = np.arange(len(pairs))
+        self.a, self.b, self.pairs, self.pair_of = a[pairs], b[pairs], h[pairs], place[where]
+        self.flags = np.frombuffer(flags, np.uint8)
+        self.trained = np.repeat(self.flags & 1 == 1, self.lengths)
+
+    def keys(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(kind, sorted hashes, counts in the training rows) of words (kind 1) and pairs (kind 2)."""
+        yield 1, self.hashes[self.words], np.bincount(self.tokens[self.trained], minlength=len(self.hashes))[self.words]
+        yield 2, self.pairs, np.bincount(self.pair_of[self.trained], minlength=len(self.pairs))
+
+
+ASKED = "kind int, part long, chunk long, n long, hashes binary, counts binary"
+TOLD = "kind int, part long, chunk long, n long, levels binary, counts binary, v long, total long, middles double"
+
+
+def asked(held: DataFrame, bits: int) -> DataFrame:
+    """Every chunk's words and pairs with their counts, by the hashes' first bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                for kind, hashes, counts in Chunk(r["words"], r["tokens"], r["lengths"], r["flags"], r["n_tokens"]).keys():
+                    edges = np.r_[0, np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else [], len(hashes)].astype(np.int64)
+                    rows = [(kind, part, r["chunk"], hi - lo, hashes[lo:hi].tobytes(), packed(counts[lo:hi].astype("<u4"))) for part, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if hi > lo]
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["kind", "part", "chunk", "n", "hashes", "counts"])
 
+    return held.mapInArrow(run, ASKED)
 
-def score(docs: DataFrame, train) -> DataFrame:
-    """docs' (doc_id, n_tokens, n_known, train_tokens, base_score, score, trained) by counts of the rows where ``train`` holds.
 
-    The filters and the frequent words' exact counts are broadcast: the filters hold every word and
-    pair and grow with them, the frequent words have a fixed bound (FREQUENT). Counts of other words, which base_score needs exactly, meet
-    the documents' words by hash bucket. A null text counts as empty and has one token,
-    the end; without training rows all counts are 0. Words are told apart by 64-bit hashes.
+def told(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one range of hashes: the filter of the training rows' counts, and what it tells each chunk that asks.
+
+    A key that isn't in the filter, or has another level, may by chance be told a wrong level. The range's
+    task knows which of the keys asked for these are and corrects them, so that
+    probabilities add up to no more than one. Words are told their exact counts besides.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(train, F.lit(False)).alias("trained"))
-    n_docs = rows.count()
-    bits = max(5, min(16, math.ceil(math.log2(max(1, n_docs / 1024)))))
-    counts = cut(gather(rows.where("trained"), bits))
-    unigrams = counts.where("kind = 1")
-    size = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
-    v, n = int(size.v), int(size.n)
-    least = max(1, n * FREQUENT)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            keys, c = blob_columns(batch.column("blob").to_pylist(), "<u8", "<i8")
-            often = c >= least
-            yield pa.RecordBatch.from_arrays([pa.array([keys[often].tobytes()], pa.binary()), pa.array([c[often].tobytes()], pa.binary())], names=["k", "c"])
+    kind, part = int(rows.kind.iloc[0]), int(rows.part.iloc[0])
+    parts = [np.frombuffer(h, "<u8") for h in rows.hashes]
+    keys, n = summed(np.concatenate(parts), np.concatenate([unpacked(c, "<u4", m) for c, m in zip(rows.counts, rows.n)]).astype(np.int64))
+    level = Filter(0, {0: segment(keys[n > 0], n[n > 0], 1)}).levels(keys)
+    own = np.searchsorted(LEVELS, n, side="right")
+    wrong = np.flatnonzero(level != own)
+    level[wrong] = own[wrong]
+    at = [np.searchsorted(keys, x) for x in parts]
+    out = [(kind, part, chunk, len(k), packed(level[k].astype(np.uint8)), packed(n[k]) if kind == 1 else b"", 0, 0, 0.0) for chunk, k in zip(rows.chunk, at)]
+    return pd.DataFrame([*out, (0, part, -1, 0, b"", b"", *((int((n > 0).sum()), int(n.sum()), float(MIDDLES[own].sum())) if kind == 1 else (0, 0, 0.0)))], columns=[c.split()[0] for c in TOLD.split(", ")])
+
+
+def chances(both: np.ndarray, before: np.ndarray, alone: np.ndarray, strength: float) -> np.ndarray:
+    """P(b | a) by levels of the pair and of a and the unigram chance of b.
+
+    A pair counts its level's least count and what goes before its greatest, so over all b this is one at most.
+    """
+    return alone if strength == math.inf else (FLOORS[both] + strength * alone) / (CEILINGS[before] + strength)
 
-    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            out = [segment(*blob_columns([blob], "<u8", "<i8"), 1) for blob in batch.column("blob").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(out, pa.binary())], names=["bucket", "blob"])
-
-    top = unigrams.select("blob").mapInArrow(frequent, "k binary, c binary").collect()
-    top_keys = np.concatenate([np.frombuffer(r.k, "<u8") for r in top] or [np.array([], _U)])
-    order = np.argsort(top_keys)
-    top_counts = np.concatenate([np.frombuffer(r.c, "<i8") for r in top] or [np.array([], np.int64)])[order]
-    singles = Filter(bits, {r.bucket: bytes(r.blob) for r in unigrams.select("bucket", "blob").mapInArrow(filtered, "bucket int, blob binary").collect()})
-    doubles = Filter(bits, {r.bucket: bytes(r.blob) for r in counts.where("kind = 2").select("bucket", "blob").collect()})
-    sent = spark.sparkContext.broadcast((top_keys[order], top_counts, singles, doubles))
-    below = n + 0.5 * (v + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_keys, top_counts, singles, doubles = sent.value
-        words, made = Words(), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        exact = known = np.array([])
-        tails: list[tuple[np.ndarray, ...]] = []
-        schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("blob", pa.binary())])
-
-        def tail_rows():
-            if not tails:
-                return []
-            h, k, c = (np.concatenate(x) for x in zip(*tails))
-            order = np.argsort(h)
-            return [{"kind": 1, "bucket": b, "blob": blob} for _, b, blob in bucket_rows(1, bits, h[order], k[order], c[order])]
+def score(docs: DataFrame, train) -> DataFrame:
+    """docs' (doc_id, n_tokens, n_known, train_tokens, base_score, score, trained) by counts of the rows where ``train`` holds.
 
-        for batch in small(batches):
-            if len(words.hashes) > REMEMBERED:
-                words.clear()
-                exact = known = np.array([])
-            ids, starts = words.read(batch.column("text").to_pylist())
-            new = words.hashes[len(exact) :]
-            at = np.minimum(np.searchsorted(top_keys, new), max(0, len(top_keys) - 1))
-            hit = top_keys[at] == new if len(top_keys) else np.zeros(len(new), bool)
-            exact = np.r_[exact, np.where(hit, top_counts[at] if len(top_keys) else 0, -1.0)]
-            known = np.r_[known, np.where(hit, exact[len(exact) - len(new) :], singles.counts(new))]
-            tokens, before = ids[1:], ids[:-1]
-            own = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ids)]))
-            sums = lambda x: np.bincount(own, x, len(starts))
-            often = exact[tokens] >= 0
-            base = sums(np.where(often, np.log10((np.maximum(exact, 0) + 0.5) / below)[tokens], 0.0))
-            uni = (known + 0.5) / below
-            codes, where = np.unique(before << 32 | tokens, return_inverse=True)
-            a, b = codes >> 32, codes & 0xFFFFFFFF
-            both = np.minimum(doubles.counts(pair_hash(words.hashes[a], words.hashes[b])), np.minimum(known[a], known[b]))
-            models = []
-            for s in STRENGTHS:
-                p = uni[b] if s == math.inf else (both + s * uni[b]) / (known[a] + s)
-                models.append(sums(np.log10(p)[where]))
-            models = np.array(models)
-            best = models.max(0, initial=-np.inf)
-            value = best + np.log10(np.mean(10.0 ** np.maximum(models - best, -300), 0)) if len(starts) else best
-            keys = made + np.arange(len(starts))
-            made += len(starts)
-            rare = ~often
-            pairs, c = np.unique(own[rare] << 32 | tokens[rare], return_counts=True)
-            if len(pairs):
-                tails.append((words.hashes[pairs & 0xFFFFFFFF], keys[pairs >> 32], c.astype(np.uint32)))
-            m = len(starts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int32()), pa.array(keys), batch.column("doc_id"), batch.column("trained"), pa.array(sums(np.ones(len(tokens))).astype(np.int64)), pa.array(sums(often * 1.0).astype(np.int64)), pa.array(base), pa.array(value), pa.nulls(m, pa.binary())], schema=schema)
-            if sum(len(x[0]) for x in tails) > HELD // 4:
-                yield pa.RecordBatch.from_pylist(tail_rows(), schema=schema)
-                tails = []
-        yield pa.RecordBatch.from_pylist(tail_rows(), schema=schema)
-
-    schema = "kind int, bucket int, key long, doc_id long, trained boolean, n_tokens long, n_known long, base double, score double, blob binary"
-    passed = cut(dealt(rows).mapInArrow(run, schema))
-
-    def look_up(tail: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
-        h, key, c = blob_columns(list(tail.blob), "<u8", "<i8", "<u4")
-        words, counts_ = blob_columns(list(mine.blob), "<u8", "<i8")
-        at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-        n_word = np.where(words[at] == h, counts_[at], 0) if len(words) else np.zeros(len(h), np.int64)
-        keys, where = np.unique(key, return_inverse=True)
-        base = np.bincount(where, c * np.log10((n_word + 0.5) / below), len(keys))
-        n_known = np.bincount(where, c * (n_word > 0), len(keys)).astype(np.int64)
-        return pd.DataFrame({"key": keys, "base_": base, "known_": n_known})
-
-    rest = passed.where("kind = 1").select("bucket", "blob").groupBy("bucket").cogroup(unigrams.select("bucket", "blob").groupBy("bucket")).applyInPandas(look_up, "key long, base_ double, known_ long")
-    rest = rest.groupBy("key").agg(F.sum("base_").alias("base_"), F.sum("known_").alias("known_"))
-    out = passed.where("kind = 0").join(rest, "key", "left")
-    base = F.col("base") + F.coalesce("base_", F.lit(0.0))
-    return out.select("doc_id", "trained", "n_tokens", (F.col("n_known") + F.coalesce("known_", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    Chunks of documents ask for their words and pairs, and each range of hashes is filled into a filter
+    and probed in a task of its own, so nothing that grows with the rows is broadcast or comes to
+    the driver. A null text counts as empty and has one token, the end; without training rows all
+    counts are 0; an empty table gives no rows. Texts of any length are read whole; null and repeated
+    doc_ids matter nothing. Words are told apart by 64-bit hashes.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(train, F.lit(False)).alias("trained"))
+    held = cut(chunks(rows))
+    size = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
+    bits = max(3, math.ceil(math.log2(max(1, size / RANGE))))
+    found = cut(asked(held, bits).groupBy("kind", "part").applyInPandas(told, TOLD))
+    total = found.where("kind = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "total", "middles"))).first()
+    v, n, middles = int(total.v), int(total.total), float(total.middles)
+
+    def run(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in own.itertuples():
+            x, told_ = Chunk(r.words, r.tokens, r.lengths, r.flags, r.n_tokens), replies.sort_values(["kind", "part"])
+            words, pairs = (told_[told_.kind == k] for k in (1, 2))
+            level, exact = np.zeros(len(x.hashes), np.int64), np.zeros(len(x.hashes), np.int64)
+            level[x.words] = np.concatenate([unpacked(b, "u1", m) for b, m in zip(words.levels, words.n)])
+            exact[x.words] = np.concatenate([unpacked(b, "<i8", m) for b, m in zip(words.counts, words.n)])
+            both = np.concatenate([unpacked(b, "u1", m) for b, m in zip(pairs.levels, pairs.n)])
+            doc = np.repeat(np.arange(len(x.lengths)), x.lengths)
+            sums = lambda values: np.bincount(doc, values, len(x.lengths))
+            base = sums(np.log10((exact + 0.5) / (n + 0.5 * (v + 1)))[x.tokens])
+            alone = ((MIDDLES[level] + 0.5) / (middles + 0.5 * (v + 1)))[x.b]
+            models = np.array([sums(np.log10(chances(both, level[x.a], alone, s))[x.pair_of]) for s in STRENGTHS])
+            best = models.max(0)
+            value = best + np.log10(np.mean(10.0 ** np.maximum(models - best, -300), 0))
+            ids = pd.array(np.frombuffer(r.ids, "<i8"), "Int64")
+            ids[x.flags & 2 == 2] = pd.NA
+            out.append(pd.DataFrame({"doc_id": ids, "trained": x.flags & 1 == 1, "n_tokens": x.lengths, "n_known": sums((exact > 0)[x.tokens] * 1.0).astype(np.int64), "base_score": base, "score": value}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("doc_id", "trained", "n_tokens", "n_known", "base_score", "score")})
+
+    schema = "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double"
+    out = held.groupBy("chunk").cogroup(found.where("kind > 0").select("kind", "part", "chunk", "n", "levels", "counts").groupBy("chunk")).applyInPandas(run, schema)
+    return out.select("doc_id", "trained", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
