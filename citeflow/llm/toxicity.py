@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -23,9 +24,8 @@ REPORTS = ["said", "says", "wrote", "quoted", "called", "reported", "sagte", "sc
 
 #: Labelled rows of each class, in expectation, that a model is fitted on.
 FIT_ROWS = 20_000
-#: Stems that a model holds at most; the strongest stay.
-STEMS = 5_000
-SHORTEST, LONGEST = 4, 10
+#: Letters of a stem that is the beginning of a word; whole words of any greater length are stems too.
+SHORTEST, LONGEST = 4, 32
 #: Tokens after an insult in which a target bears on it.
 REACH = 3
 #: Least weight of a threat that has a target; without one it has its own.
@@ -54,23 +54,79 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     share = {r.toxic: min(1.0, fit_rows / r.n) for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     limit = F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
     rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < limit * 1_000_000)
-    return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic")
+    few = rows if rows.count() > 4 * fit_rows else F.broadcast(rows)
+    return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").select("doc_id", "text", "toxic")
+
+
+class Transducer:
+    """A sequential transducer: ``moves`` and ``writes`` map (state, symbol) to the next state and the symbol written; without an entry both stay."""
+
+    def __init__(self, start, moves: dict, writes: dict):
+        self.start, self.moves, self.writes = start, moves, writes
+
+    def step(self, state, symbol: str):
+        return self.moves.get((state, symbol), state), self.writes.get((state, symbol), symbol)
+
+    def run(self, symbols: list[str]) -> list[str]:
+        state, out = self.start, []
+        for symbol in symbols:
+            state, written = self.step(state, symbol)
+            out.append(written)
+        return out
+
+
+def compose(first: Transducer, second: Transducer, symbols: list[str]) -> Transducer:
+    """The transducer that does what second does with what first writes, over all pairs of states that can be reached."""
+    start, moves, writes = (first.start, second.start), {}, {}
+    waiting, seen = [start], {start}
+    while waiting:
+        state = waiting.pop()
+        for symbol in symbols:
+            a, between = first.step(state[0], symbol)
+            b, written = second.step(state[1], between)
+            moves[state, symbol], writes[state, symbol] = (a, b), written
+            if (a, b) not in seen:
+                seen.add((a, b))
+                waiting.append((a, b))
+    return Transducer(start, moves, writes)
+
+
+#: What a clause's tokens are, and what its matches (insults and threats) become.
+SYMBOLS = ["word", "comma", "target", "negation", "report", "insult", "threat", "insult+target", "threat+target"]
+_MATCHES = ("insult", "threat")
+#: Read from right to left: a target bears on a match at most REACH tokens before it.
+AHEAD = Transducer(
+    0,
+    {(k, s): REACH if s == "target" else max(0, k - 1) for k in range(REACH + 1) for s in SYMBOLS},
+    {(k, s): f"{s}+target" for k in range(1, REACH + 1) for s in _MATCHES},
+)
+#: Read from left to right: a target bears on all matches after it.
+SEEN = Transducer("none", {("none", "target"): "seen"}, {("seen", s): f"{s}+target" for s in _MATCHES})
+#: A negation holds up to a comma.
+NEGATED = Transducer("plain", {("plain", "negation"): "negated", ("negated", "comma"): "plain"}, {("negated", s + t): f"{s}+negated" for s in _MATCHES for t in ("", "+target")})
+#: A report holds on to the clause's end.
+REPORTED = Transducer("plain", {("plain", "report"): "reported"}, {("reported", s + t): f"{s}+reported" for s in _MATCHES for t in ("", "+target", "+negated")})
+CLAUSE = compose(compose(SEEN, NEGATED, SYMBOLS), REPORTED, SYMBOLS)
+
+
+def paths(symbols: list[str]) -> list[str]:
+    """What the tokens of a clause become: a bimachine, AHEAD from the right and then CLAUSE from the left."""
+    return CLAUSE.run(AHEAD.run(symbols[::-1])[::-1])
 
 
 class Grammar:
-    """Class transducers and the clause automaton composed from them.
+    """Lexical transducers for words and the clause automaton composed of those above, with weights.
 
     ``insults`` maps a stem to its weight, a log odds of the label learnt from rows; a
-    stem ending in ``$`` is a whole word, others match at the beginning of words.
-    ``modes`` holds the weight that each path of the clause automaton adds: plain, with a
-    target, negated, reported. A negated or reported match counts for nothing, whatever its
-    weight; a threat (``threats``) counts in full where the clause has a target.
+    stem ending in ``$`` is a whole word, others match at the beginning of words. ``threats``
+    maps a word to its weight without a target and its weight with one. ``modes`` holds the weight that
+    each path of the clause automaton adds: plain, with a target, negated, reported. A negated
+    or reported match counts for nothing, whatever its weight.
     """
 
-    def __init__(self, insults: dict[str, float], modes: dict[str, float], bias: float):
-        self.insults, self.modes, self.bias = insults, modes, bias
-        self.threats = frozenset(THREATS)
-        self.kinds = {**dict.fromkeys(TARGETS, "target"), **dict.fromkeys(NEGATIONS, "negated"), **dict.fromkeys(REPORTS, "reported")}
+    def __init__(self, insults: dict[str, float], threats: dict[str, tuple[float, float]], modes: dict[str, float], bias: float):
+        self.insults, self.threats, self.modes, self.bias = insults, threats, modes, bias
+        self.kinds = {**dict.fromkeys(TARGETS, "target"), **dict.fromkeys(NEGATIONS, "negation"), **dict.fromkeys(REPORTS, "report")}
         self._machine = None
 
     def __getstate__(self):
@@ -82,47 +138,55 @@ class Grammar:
             import ahocorasick
 
             self._machine = ahocorasick.Automaton()
-            for stem in self.insults:
-                self._machine.add_word(stem.rstrip("$"), stem)
-            if self.insults:
-                self._machine.make_automaton()
+            for stem in [*self.insults, *self.threats]:
+                self._machine.add_word(stem.rstrip("$"), (*self._machine.get(stem.rstrip("$"), ()), stem))
+            self._machine.make_automaton()
         return self._machine
 
+    def weight(self, stem: str, mode: str) -> float:
+        if stem in self.threats:
+            return max(0.0, self.threats[stem][mode == "target"] + min(0.0, self.modes[mode]))
+        return max(0.0, self.insults[stem] + self.modes[mode])
+
+    def matches(self, text: str) -> dict[int, str]:
+        """The strongest stem that begins at each place of a lower-case text."""
+        spans: dict[int, str] = {}
+        if not self.insults and not self.threats:
+            return spans
+        plain = lambda stem: self.weight(stem, "plain")
+        for end, found in self.machine().iter(text):
+            for stem in found:
+                start = end + 1 - len(stem.rstrip("$"))
+                if start and text[start - 1].isalpha() or (stem[-1] == "$" or stem in self.threats) and end + 1 < len(text) and text[end + 1].isalpha():
+                    continue
+                if start not in spans or plain(stem) > plain(spans[start]):
+                    spans[start] = stem
+        return spans
+
     def clauses(self, text: str) -> list[tuple[str, str]]:
-        """(stem, mode) of each clause with an insult or threat: the automaton's accepting path."""
-        text, spans = text.lower(), {}
-        if not self.insults:
-            return []
-        for end, stem in self.machine().iter(text):
-            start = end + 1 - len(stem.rstrip("$"))
-            if start and text[start - 1].isalpha() or stem[-1] == "$" and end + 1 < len(text) and text[end + 1].isalpha():
-                continue
-            if start not in spans or self.insults[stem] > self.insults[spans[start]]:
-                spans[start] = stem
-        found = []
-        for start, stem in spans.items():
-            stop = [m.end() for m in _STOP.finditer(text, max(0, start - 200), start)]
-            begin = stop[-1] if stop else max(0, start - 200)
-            close = _STOP.search(text, start, start + 200)
-            before = ["comma" if w == "," else self.kinds.get(w) for w in _TOKEN.findall(text, begin, start)]
-            after = [self.kinds.get(w) for w in _WORD.findall(text, start, close.start() if close else min(len(text), start + 200))]
-            state = "plain"
-            for kind in before:  # transitions: a report holds on to the clause's end, a negation to a comma, a target gives way to them
-                if kind in ("negated", "reported") and state != "reported":
-                    state = kind
-                elif kind == "comma" and state == "negated":
-                    state = "plain"
-            if state == "plain" and "target" in [*before, *after[1 : REACH + 1]]:
-                state = "target"
-            found.append((stem, state))
+        """(stem, mode) of each insult or threat: the symbol that the clause automaton's path writes for it. Clauses are read whole, each once."""
+        text = text.lower()
+        spans = sorted(self.matches(text).items())
+        stops = [m.start() for m in _STOP.finditer(text)] if spans else []
+        found, at = [], 0
+        while at < len(spans):
+            k = bisect.bisect_left(stops, spans[at][0])
+            begin, close = stops[k - 1] + 1 if k else 0, stops[k] if k < len(stops) else len(text)
+            tokens = list(_TOKEN.finditer(text, begin, close))
+            starts, symbols, mine = [m.start() for m in tokens], ["comma" if m[0] == "," else self.kinds.get(m[0], "word") for m in tokens], []
+            while at < len(spans) and spans[at][0] < close:
+                start, stem = spans[at]
+                mine.append((max(0, bisect.bisect_right(starts, start) - 1), stem))
+                at += 1
+            for place, stem in mine:
+                symbols[place] = "threat" if stem in self.threats else "insult"
+            written = paths(symbols)
+            found += [(stem, (written[place].split("+") + ["plain"])[1]) for place, stem in mine]
         return found
 
     def score(self, text: str | None) -> float:
         """From 0 to 1, over 0.5 where the matched clauses' weights outweigh the bias."""
-        total = self.bias
-        for stem, mode in set(self.clauses(text or "")):
-            weight = max(self.insults[stem], DIRECT) if mode == "target" and stem in self.threats else self.insults[stem]
-            total += max(0.0, weight + self.modes[mode])
+        total = self.bias + sum(self.weight(stem, mode) for stem, mode in sorted(set(self.clauses(text or ""))))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
@@ -148,7 +212,7 @@ def cover(of: dict[int, list[str]], odds: dict[str, float], good: dict[str, int]
     return taken
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int = STEMS) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar:
     """A grammar whose stems and weights come from labelled rows; without any, its seeds alone.
 
     Stems that mark toxic rows beyond chance are candidates. They are then taken one by
@@ -159,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
     rows = labelled(docs, labels, fit_rows)
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
-    weights = {w: 4.0 for w in INSULTS} | {w: 1.0 for w in THREATS}
+    weights, threats = {w: 4.0 for w in INSULTS}, {w: (1.0, DIRECT) for w in THREATS}
     if toxic and clean:
         prior = toxic / (toxic + clean)
         counts = rows.select("toxic", F.explode(stems(F.col("text"))).alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
@@ -168,13 +232,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
         p = F.col("bad") / n
         bound = F.col("bad") * F.log(p / prior) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - p) / (1 - prior))).otherwise(0.0)
         odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
-        kept = counts.where((F.col("bad") >= 4) & (p > 0.95)).select("stem", "good", odds.alias("odds"), bound.alias("bound")).where(F.col("bound") > math.log(1e5)).orderBy(F.desc("bound"), F.length("stem"), "stem").limit(most)
-        found = kept.collect()
-        odds, good = {r.stem: r.odds for r in found}, {r.stem: r.good for r in found}
-        held = F.array_intersect(stems(F.col("text")), F.array(*map(F.lit, odds))) if odds else F.array().cast("array<string>")
-        of = {r.doc_id: r.held for r in rows.where("toxic = 1").select("doc_id", held.alias("held")).collect()}
+        strong = counts.where((F.col("bad") >= 4) & (p > 0.95)).select("stem", "good", odds.alias("odds"), bound.alias("bound")).where(F.col("bound") > math.log(1e5)).select("stem", "good", "odds")
+        found = strong.collect()
+        odds, good = {r.stem: r.odds for r in found if r.stem not in threats}, {r.stem: r.good for r in found}
+        of: dict[int, list[str]] = {}
+        if odds:
+            # found and the toxic rows are of the bounded sample
+            known = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in odds], "stem string"))
+            for r in rows.where("toxic = 1").select("doc_id", F.explode(stems(F.col("text"))).alias("stem")).join(known, "stem").collect():
+                of.setdefault(r.doc_id, []).append(r.stem)
         weights |= cover(of, odds, good, prior)
-    grammar = Grammar(weights, {"plain": 0.0, "target": 0.0, "negated": -math.inf, "reported": -math.inf}, -1.5)
+    grammar = Grammar(weights, threats, {"plain": 0.0, "target": 0.0, "negated": -math.inf, "reported": -math.inf}, -1.5)
     if toxic and clean:
         # what a target adds, from the same rows, with seeds worth a few rows
 
@@ -197,7 +265,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
 
 
 def score(docs: DataFrame, grammar: Grammar, column: str = "score") -> DataFrame:
-    """docs with a toxicity score; null and empty texts score as texts without a match. A column of that name, in any case, is replaced."""
+    """docs with a toxicity score; null and empty texts score as texts without a match. A column of that name, in any case, is replaced.
+
+    Texts of any length are read whole; equal texts, repeated rows included, score alike; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
