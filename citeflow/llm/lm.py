@@ -177,6 +177,19 @@ class Chunk:
         yield 2, self.pairs, np.bincount(self.pair_of[self.trained], minlength=len(self.pairs))
 
 
+def narrow(hashes: np.ndarray, bits: int, width: int) -> bytes:
+    """The bytes behind the first bits that tell hashes of one range apart, least first."""
+    return np.ascontiguousarray(((hashes << _U(bits)) >> _U(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def wide(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+#: Bytes of a word's hash and of a pair's that go to its range; with the range's own bits the latter are 51 or more, and equal hashes count as one pair.
+WIDTHS = {1: 8, 2: 6}
 ASKED = "kind int, part long, chunk long, n long, hashes binary, counts binary"
 TOLD = "kind int, part long, chunk long, n long, levels binary, counts binary, v long, total long, middles double"
 
@@ -188,7 +201,7 @@ def asked(held: DataFrame, bits: int) -> DataFrame:
             for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 for kind, hashes, counts in Chunk(r["words"], r["tokens"], r["lengths"], r["flags"], r["n_tokens"]).keys():
                     edges = np.r_[0, np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else [], len(hashes)].astype(np.int64)
-                    rows = [(kind, part, r["chunk"], hi - lo, hashes[lo:hi].tobytes(), packed(counts[lo:hi].astype("<u4"))) for part, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if hi > lo]
+                    rows = [(kind, part, r["chunk"], hi - lo, narrow(hashes[lo:hi], 0 if kind == 1 else bits, WIDTHS[kind]), packed(counts[lo:hi].astype("<u4"))) for part, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if hi > lo]
                     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["kind", "part", "chunk", "n", "hashes", "counts"])
 
@@ -203,7 +216,7 @@ def told(rows: pd.DataFrame) -> pd.DataFrame:
     probabilities add up to no more than one. Words are told their exact counts besides.
     """
     kind, part = int(rows.kind.iloc[0]), int(rows.part.iloc[0])
-    parts = [np.frombuffer(h, "<u8") for h in rows.hashes]
+    parts = [wide(h, WIDTHS[kind]) for h in rows.hashes]
     keys, n = summed(np.concatenate(parts), np.concatenate([unpacked(c, "<u4", m) for c, m in zip(rows.counts, rows.n)]).astype(np.int64))
     level = Filter(0, {0: segment(keys[n > 0], n[n > 0], 1)}).levels(keys)
     own = np.searchsorted(LEVELS, n, side="right")
