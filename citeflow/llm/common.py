@@ -65,6 +65,25 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
+#: Rows of one key that a task gets at least; keys of more are split, 10,000 of them at most.
+HOT = 256
+
+
+def joined(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """rows.join(of, key), where ``of`` has one row of each key and n, the number of its rows.
+
+    Rows of a key that has more than HOT of them, and more than one in 10,000 of all, are dealt
+    out over several tasks and meet a copy of the key's row in each. So what is broadcast, the
+    list of these keys, has 10,000 rows at most.
+    """
+    most = max(HOT, (of.agg(F.sum("n").alias("n")).first().n or 0) // 10_000)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    hot = of.where(F.col("n") > most).select(key, parts.alias("_parts"))
+    salt = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts")).cast("int"))
+    dealt_out = of.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, parts - 1).otherwise(0)))).drop("n")
+    return rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_parts").join(dealt_out, [key, "_salt"]).drop("_salt")
+
+
 def crc_mod(column, n: int):
     """crc32 of an id as text, modulo n; null for a null id."""
     return F.crc32(column.cast("string").cast("binary")) % n

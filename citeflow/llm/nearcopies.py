@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeflow.llm import simhash
-from citeflow.llm.common import components, cut, dealt, fresh, small, words_of
+from citeflow.llm.common import components, cut, dealt, fresh, joined, small, words_of
 
 #: Words in a shingle, and the similarity from which two texts are near copies.
 SHINGLE, LEAST = 5, 0.8
@@ -93,20 +93,21 @@ def near_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     once to each pair of blocks of a large group, and is compared there by its shingles.
     """
     rows = sketches.select("key", F.explode("bands").alias("band"))
-    first = rows.groupBy("band").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = cut(rows.join(first, "band").select("key", "band", "first"))
+    first = cut(rows.groupBy("band").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    shared = cut(joined(rows, first, "band").select("key", "band", "first"))
     group = components(shared.select(F.col("key").alias("a"), F.col("first").alias("b")))
     wanted = shared.groupBy("key").agg(F.collect_list("band").alias("shared")).join(group.select(F.col("node").alias("key"), F.col("root").alias("group")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             blobs = pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "group", "shared")), blobs], names=["key", "group", "shared", "blob"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "group", "shared", "n")), blobs], names=["key", "group", "shared", "n", "blob"])
 
+    size = group.groupBy(F.col("root").alias("group")).agg(F.count("*").alias("n"))
+    wanted = joined(wanted, size.withColumn("size", F.col("n")), "group").withColumnRenamed("size", "n")
     held = texts.groupBy("key").agg(F.min("text").alias("text")).join(wanted, "key")
-    held = cut(held.select("key", "group", "shared", "text").mapInArrow(run, "key long, group long, shared array<long>, blob binary"))
-    size = held.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    held = held.join(F.broadcast(size), "group", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int") * 2, F.lit(1)))
+    held = held.select("key", "group", "shared", "n", "text").mapInArrow(run, "key long, group long, shared array<long>, n long, blob binary")
+    held = held.withColumn("parts", F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK).cast("int") * 2).otherwise(1))
     held = held.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: t != F.col("mine"))))
     held = held.select("group", "key", "shared", "blob", "mine", other.alias("other")).select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "shared", "blob")
@@ -131,11 +132,11 @@ def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
 
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     sketches = cut(dealt(texts).mapInArrow(run, "key long, fp long, bands array<long>").dropDuplicates(["key"]))
-    fps = sketches.groupBy("fp").agg(F.min("key").alias("least"))
-    same = sketches.join(fps, "fp").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    joined = simhash.links(fps.select("fp"), radius)
-    joined = joined.join(fps.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
-    found = components(same.unionAll(joined.select("x", "y")).unionAll(near_links(texts, sketches.select("key", "bands"))))
+    fps = cut(sketches.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
+    same = joined(sketches.select("key", "fp"), fps.where("n > 1"), "fp").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    near = simhash.links(fps.select("fp"), radius)
+    near = near.join(fps.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    found = components(same.unionAll(near.select("x", "y")).unionAll(near_links(texts, sketches.select("key", "bands"))))
 
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
     rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias(key), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), order.alias("o"))

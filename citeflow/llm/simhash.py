@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import components, cut, dealt, small, table, words_of
+from citeflow.llm.common import components, cut, dealt, joined, small, table, words_of
 
 #: Distinct fingerprints of one bucket that are compared in one group; larger buckets are dealt out over pairs of blocks.
 BLOCK = 4096
@@ -190,13 +190,13 @@ def near_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int =
     group; null doc_ids keep their rows and are never the smallest unless all are null.
     """
     rows = cut(fingerprints(docs, shingle, seed))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = components(links(distinct.select("fp"), radius))
-    linked = joined.join(distinct, joined.node == distinct.fp).select("fp", "root", "least")
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    parts = components(links(distinct.select("fp"), radius))
+    linked = parts.join(distinct, parts.node == distinct.fp).select("fp", "root", "least")
     groups = linked.groupBy("root").agg(F.min("least").alias("group_least"))
     of = linked.join(groups, "root").select("fp", "group_least")
-    label = distinct.join(of, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
-    return rows.join(label, "fp")
+    label = distinct.join(of, "fp", "left").select("fp", "n", F.coalesce("group_least", "least").alias("component_id"))
+    return joined(rows, label, "fp")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
