@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import cut, table
+from citeflow.llm.common import cut, joined, table
 
 #: Vectors, in expectation, that the centroids and codebooks are fitted on; all vectors are indexed.
 FIT_VECTORS = 16_384
 #: Parts of a residual, codewords of each part, most lists.
 PARTS, WORDS, LISTS = 32, 256, 4096
-#: Share of the lists that a query probes, and candidates of a shard that are reranked exactly.
-PROBED, RERANKED = 0.75, 100
-#: Vectors of a shard and queries of a block.
+#: Share of the sample's nearest neighbours that lie in the lists probed, by which the number of these is set.
+FOUND = 0.97
+#: Candidates of a block of lists that are reranked exactly for a query.
+RERANKED = 100
+#: Vectors of a block of lists, queries of a group.
 SHARD, BLOCK = 8192, 4096
 
 
@@ -54,13 +56,20 @@ class Index:
         rest = x - self.centroids[lists]
         return lists, np.stack([_nearest(rest[:, a:b], c) for a, b, c in zip(self.edges, self.edges[1:], self.books)], 1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, share: float) -> np.ndarray:
-        """Whether each query probes each list: those whose centroids are nearest."""
-        k = min(len(self.centroids), max(1, math.ceil(share * len(self.centroids))))
-        near = q @ self.centroids.T
-        out = np.zeros(near.shape, bool)
-        np.put_along_axis(out, np.argpartition(-near, k - 1, axis=1)[:, :k], True, axis=1)
-        return out
+    def depth(self, sample: np.ndarray, k: int, share: float = FOUND) -> int:
+        """How many lists a query has to probe so that they hold this share of the k nearest: as many as the sample's own vectors need, few where there are clusters."""
+        some = sample[np.linspace(0, len(sample) - 1, min(len(sample), 400)).astype(int)]
+        lists, place = _nearest(sample, self.centroids), []
+        for q in some:
+            near = np.argsort(-(sample @ q), kind="stable")[: k + 1]
+            order = np.empty(len(self.centroids), np.int64)
+            order[np.argsort(-(self.centroids @ q), kind="stable")] = np.arange(len(self.centroids))
+            place += order[lists[near]].tolist()
+        return 1 + int(np.quantile(place, share, method="higher"))
+
+    def probes(self, q: np.ndarray, depth: int) -> np.ndarray:
+        """The lists that each query probes: those whose centroids are nearest."""
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :depth]
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Asymmetric distance tables: each query's inner product with each codeword of each part."""
@@ -68,80 +77,147 @@ class Index:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<double>) of the vectors that take part.
+    """(vec_id, embedding array<double>, rep) of the vectors that take part; rep tells vectors apart by 64 bits.
 
-    Null ids and vectors, vectors with null or non-finite components, zero vectors, and
-    those that don't have the most frequent number of components do not. Rows of
-    one vec_id count once, with the least vector.
+    Null ids and vectors, vectors with null or non-finite components and zero vectors do
+    not. Rows that are equal in both count once; a vec_id may have several vectors.
     """
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
-    size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("embedding") == (size.n if size else -1))
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))).distinct().withColumn("rep", F.xxhash64("embedding"))
+
+
+def blocks(sizes: dict[int, int], centroids: np.ndarray, shard: int) -> np.ndarray:
+    """(first block, number of blocks) of each list: lists side by side in space share a block of about ``shard`` vectors; a longer list has several."""
+    out, block, free = np.zeros((len(centroids), 2), np.int64), 0, shard
+    spread = centroids - centroids.mean(0)
+    along = spread @ np.linalg.svd(spread, full_matrices=False)[2][0] if len(centroids) > 1 else np.zeros(1)
+    for k in np.argsort(along, kind="stable"):
+        n = sizes.get(int(k), 0)
+        if n > free and free < shard:
+            block, free = block + 1, shard
+        out[k] = block, max(1, -(-n // shard))
+        if n >= shard:
+            block, free = block + out[k, 1], shard
+        else:
+            free -= n
+    return out
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, found: float = FOUND, reranked: int = RERANKED) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each row whose vec_id is divisible by ``every``.
 
+    Vectors of one length are searched among themselves. Null and invalid vectors take no part (``valid``),
+    repeated rows count once, ties go to the smaller vec_id, other columns are ignored, and an empty
+    table gives no rows.
+    """
+    rows = cut(valid(vectors))
+    sizes = sorted(r.n for r in rows.select(F.size("embedding").alias("n")).distinct().collect())
+    parts = [_search(rows.where(F.size("embedding") == n), every, k, found, reranked) for n in sizes]
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionAll, [p for p in parts if p is not None], empty)
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: float = PROBED, reranked: int = RERANKED) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each row whose vec_id is divisible by ``every``.
+
+def _search(rows: DataFrame, every: int, k: int, found: float, reranked: int) -> DataFrame | None:
+    """search() over vectors of one length.
 
     Equal vectors are indexed and searched once, with the k + 1 smallest of their ids,
-    which is as many as a result can hold. The index is dealt out in shards and the
-    queries in blocks; each shard keeps the nearest by the tables, reranks them
-    with the original vectors in double precision, and only k + 1 go on.
+    which is as many as a result can hold. Each is coded once and kept with its list. Lists are dealt
+    out in blocks; a query goes to the blocks that have a list it probes, and only those lists' codes
+    are scored there, by its tables. The best are reranked with the original
+    vectors in double precision, and only k + 1 go on.
     """
-    spark = vectors.sparkSession
-    rows = cut(valid(vectors))
-    first = Window.partitionBy("embedding").orderBy("vec_id")
+    spark = rows.sparkSession
+    first = Window.partitionBy("rep").orderBy("vec_id")
     few = rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= k + 1)
-    distinct = cut(few.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    n, n_queries = distinct.count(), rows.where(F.col("vec_id") % every == 0).count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n or not n_queries:
-        return spark.createDataFrame([], schema)
-    queries = rows.where(F.col("vec_id") % every == 0).join(distinct.select(F.col("embedding").alias("_same"), "rep"), F.col("embedding") == F.col("_same")).select(F.col("vec_id").alias("query_id"), "rep")
-    queries = cut(queries)
-    sample = distinct.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < 1_000_000 * min(1.0, FIT_VECTORS / n)).orderBy(F.xxhash64("rep"), "rep").limit(2 * FIT_VECTORS)
+    distinct = cut(few.groupBy("rep").agg(F.first("embedding").alias("embedding"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "rep")
+    n, asking = distinct.count(), cut(queries.groupBy("rep").agg(F.count("*").alias("n")))
+    if not asking.count():
+        return None
+    sample = distinct.where(F.pmod(F.col("rep"), F.lit(1_000_000)) < 1_000_000 * min(1.0, FIT_VECTORS / n)).orderBy("rep").limit(2 * FIT_VECTORS)
     got = [r.embedding for r in sample.select("embedding").collect()] or [r.embedding for r in distinct.limit(1).collect()]
-    index = spark.sparkContext.broadcast(Index(np.array(got), min(LISTS, math.isqrt(n))))
-    shards, blocks = -(-n // SHARD), -(-n_queries // BLOCK)
-
-    def one(x):
-        return F.pmod(F.xxhash64("rep", F.lit(x)), F.lit(shards if x == "shard" else blocks)).cast("int")
-
-    stored = distinct.select("rep", "ids", "embedding", one("shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = queries.select(F.col("rep").alias("_rep")).distinct().join(distinct.select("rep", "embedding"), F.col("_rep") == F.col("rep"))
-    asked = asked.select(F.col("rep").alias("asked"), F.col("embedding").alias("vector"), one("block").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    made = Index(np.array(got), min(LISTS, math.isqrt(n)))
+    depth = made.depth(np.array(got), k, found)
+    index = spark.sparkContext.broadcast(made)
+
+    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 2048):
+                part = frame.iloc[at : at + 2048]
+                x = np.stack(part.embedding)
+                lists, codes = index.value.encode(x)
+                yield pd.DataFrame({"rep": part.rep, "ids": part.ids, "vector": [v.astype("<f8").tobytes() for v in x], "list": lists.astype(np.int32), "codes": [c.tobytes() for c in codes]})
+
+    stored = cut(distinct.mapInPandas(code, "rep long, ids array<long>, vector binary, list int, codes binary"))
+    place = blocks({r["list"]: r.n for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect()}, made.centroids, SHARD)
+    at = F.lit([int(b) for b, _ in place]), F.lit([int(c) for _, c in place])
+    block = F.get(at[0], F.col("list")) + F.pmod(F.col("rep"), F.get(at[1], F.col("list")))
+    sent = spark.sparkContext.broadcast(place)
+
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            chosen = index.value.probes(np.stack([np.frombuffer(v, "<f8") for v in frame.vector]), depth)
+            out = []
+            for rep, vector, lists in zip(frame.rep, frame.vector, chosen):
+                to: dict[int, list[int]] = {}
+                for x in lists.tolist():
+                    for b in range(sent.value[x, 0], sent.value[x].sum()):
+                        to.setdefault(b, []).append(x)
+                out += [(rep, vector, b, x) for b, x in to.items()]
+            yield pd.DataFrame(out, columns=["asked", "vector", "block", "lists"])
+
+    asked = stored.join(asking.select("rep"), "rep", "left_semi").select("rep", "vector").mapInPandas(route, "asked long, vector binary, block long, lists array<int>")
+    # a block that many queries probe meets them in groups
+    asked = cut(asked)
+    groups = asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
+    asked = asked.join(groups, "block").select("asked", "vector", "block", "lists", F.pmod(F.xxhash64("asked"), F.col("groups")).cast("int").alias("group"))
+    own = stored.withColumn("block", block.cast("long")).join(groups, "block").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
 
     def compare(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
+        hits: list[tuple] = []
         if len(own) and len(ask):
-            x, q = np.stack(own.embedding), np.stack(ask.vector)
-            lists, codes = index.value.encode(x)
+            own = own.sort_values("list", kind="stable")
+            x, codes = np.stack([np.frombuffer(v, "<f8") for v in own.vector]), np.stack([np.frombuffer(c, np.uint8) for c in own.codes])
+            q, low, ids, lists = np.stack([np.frombuffer(v, "<f8") for v in ask.vector]), np.array([i[0] for i in own.ids]), own.ids.values, own.list.values
+            here = np.unique(lists)
+            edges = [*np.searchsorted(lists, here), len(lists)]
             for at in range(0, len(q), 256):
                 some = q[at : at + 256]
-                # a row for each vector: adding whole table rows reads memory in order
-                score = (some @ index.value.centroids.T).T.astype(np.float32)[lists]
-                for part, t in enumerate(index.value.tables(some)):
-                    score += np.ascontiguousarray(t.T, np.float32)[codes[:, part]]
-                score[~index.value.probes(some, probed).T[lists]] = -np.inf
+                probed = np.array([np.isin(here, p) for p in ask.lists.values[at : at + 256]])
+                # a row for each codeword: adding whole table rows reads memory in order
+                tables = [np.ascontiguousarray(t.T, np.float32) for t in index.value.tables(some)]
+                base = (some @ index.value.centroids.T).astype(np.float32)
+                score = np.full((len(x), len(some)), -np.inf, np.float32)
+                for j, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                    mine = np.flatnonzero(probed[:, j])
+                    every_one = 2 * len(mine) > len(some)
+                    if not len(mine):
+                        continue
+                    part = np.tile(base[:, here[j]] if every_one else base[mine, here[j]], (hi - lo, 1))
+                    for p, t in enumerate(tables):
+                        part += (t if every_one else t[:, mine])[codes[lo:hi, p]]
+                    score[lo:hi, mine] = part[:, mine] if every_one else part
                 score = np.ascontiguousarray(score.T)
                 top = min(reranked, len(x))
                 short = np.argpartition(-score, top - 1, axis=1)[:, :top]
-                for i, s in enumerate(short):
-                    s = s[np.isfinite(score[i, s])]
-                    exact = x[s] @ some[i]
-                    best = np.lexsort((own.rep.values[s], -exact))[: k + 1]
-                    found += [(ask.asked.values[at + i], exact[b], own.ids.values[s[b]]) for b in best]
-        return pd.DataFrame(found, columns=["rep", "score", "ids"])
-
-    hits = stored.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(compare, "rep long, score double, ids array<long>")
-    pairs = hits.select("rep", "score", F.explode("ids").alias("vec_id"))
-    best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
+                for i, c in enumerate(short):
+                    c = c[np.isfinite(score[i, c])]
+                    exact = x[c] @ some[i]
+                    best = np.lexsort((low[c], -exact))[: k + 1]
+                    hits += [(ask.asked.values[at + i], exact[b], own.rep.values[c[b]], ids[c[b]]) for b in best]
+        return pd.DataFrame(hits, columns=["rep", "score", "hit", "ids"])
+
+    near = own.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInPandas(compare, "rep long, score double, hit long, ids array<long>")
+    pairs = near.select("rep", "score", "hit", F.explode("ids").alias("vec_id"))
+    best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id", "hit")
     kept = pairs.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k + 1)
-    lists = kept.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
-    own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    out = queries.withColumnRenamed("rep", "_rep").join(lists, F.col("_rep") == F.col("rep")).select("query_id", F.posexplode(own).alias("pos", "hit"))
+    lists = kept.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "hit"))).alias("near"))
+    others = F.slice(F.filter("near", lambda x: (x["vec_id"] != F.col("query_id")) | (x["hit"] != F.col("rep"))), 1, k)
+    out = joined(queries, cut(lists.join(asking, "rep")), "rep").select("query_id", F.posexplode(others).alias("pos", "hit"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
 
 
