@@ -117,29 +117,37 @@ def from_adjacency(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     return matrix.select("src", F.posexplode("row").alias("pos", "w")).where("w <> 0").join(places, "pos").select("src", "dst", "w")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): weakly connected components, named after their smallest node.
+def roots(pairs: DataFrame) -> DataFrame:
+    """(node, root) for every end of the pairs (a, b): root is the smallest node that can be reached.
 
     Alternating large-star and small-star steps, so the rounds grow with the logarithm of
-    the longest path; each is cut to the checkpoint folder.
+    the longest path. A step deals the pairs out once, by one end, and finds each node's smallest neighbour in
+    the order of the other; each round is cut to the checkpoint folder. Loops and
+    repeated pairs count for nothing; no pairs give no rows.
     """
-    e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    by = Window.partitionBy("a").orderBy("b")
+    once = F.lag("b").over(by).isNull() | (F.lag("b").over(by) != F.col("b"))
 
     def state(x: DataFrame):
         return tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
+    e = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     before = state(e)
     while before[0]:
-        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        e = cut(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
+        large = both.select("a", "b", F.least("a", F.first("b").over(by)).alias("m"), once.alias("once")).where("once AND b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.select("a", "b", F.first("b").over(by).alias("m"), once.alias("once")).where("once")
+        e = cut(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")))
         if (now := state(e)) == before:
             break
         before = now
-    return nodes.select("id").join(e.select(F.col("a").alias("id"), "b"), "id", "left").select("id", F.coalesce("b", "id").alias("component"))
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): weakly connected components, named after their smallest node (``roots``)."""
+    found = roots(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("node").alias("id"), "root")
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
