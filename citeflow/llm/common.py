@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeflow.operators.network import roots
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -95,28 +97,5 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, root), root the smallest node.
-
-    Alternates large-star and small-star steps until the edges form stars, which
-    takes a number of rounds in the logarithm of the longest path. Every round
-    is cut, so a lost executor costs one round at most. Loops and repeated edges
-    count for nothing; no edges give no rows.
-    """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-
-    def digest(x: DataFrame):
-        return tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    seen = digest(e)
-    while seen[0]:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.union(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        now = digest(e)
-        if now == seen:
-            break
-        seen = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    """Connected components of edges (a, b): rows (node, root), root the smallest node; loops and repeated edges count for nothing."""
+    return roots(edges.select(*(F.col(c).alias(k) for c, k in zip(edges.columns, ("a", "b")))))
