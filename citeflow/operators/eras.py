@@ -72,7 +72,10 @@ def edge_list(citations: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def node_eras(citations: DataFrame, eras: list[tuple[int, int]] = ERAS) -> DataFrame:
-    """(node_label, year, era): each label's first year; 999 where no era has it."""
+    """(node_label, year, era): each label's earliest year, citing or cited; 999 where no era has it.
+
+    A table's rows have no order of their own, so it is the earliest year and not the first row's.
+    """
     both = citations.select(F.col("source_label").alias("node_label"), "year").unionAll(citations.select(F.col("target_label").alias("node_label"), "year"))
     first = both.groupBy("node_label").agg(F.min("year").alias("year"))
     return first.select("node_label", "year", F.coalesce(era_of(F.col("year"), eras), F.lit(UNKNOWN)).alias("era"))

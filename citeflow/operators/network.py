@@ -92,9 +92,10 @@ def mixing(edges: DataFrame, partition: DataFrame) -> DataFrame:
     row for each pair of communities, a number the partition sets.
     """
     seen = shrink(edges.where("src <> dst"), partition)
+    none = F.lit(0).cast(seen.schema["w"].dataType)  # counts stay whole numbers, fractional weights fractional
     groups = partition.select("community").distinct()
     grid = groups.select(F.col("community").alias("ci")).crossJoin(groups.select(F.col("community").alias("cj")))
-    full = grid.join(seen, ["ci", "cj"], "left").select("ci", "cj", F.coalesce("w", F.lit(0)).cast("long").alias("observed"))
+    full = grid.join(seen, ["ci", "cj"], "left").select("ci", "cj", F.coalesce("w", none).alias("observed"))
     row, column = (F.sum("observed").over(Window.partitionBy(c)) for c in ("ci", "cj"))
     total = full.agg(F.sum("observed").alias("total"))
     out = full.select("ci", "cj", "observed", row.alias("r"), column.alias("c")).crossJoin(F.broadcast(total))
@@ -104,11 +105,33 @@ def mixing(edges: DataFrame, partition: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(src, row array<double>): one row of the matrix for each node, columns by id. For export of small networks."""
-    grid = nodes.select(F.col("id").alias("src")).crossJoin(nodes.select(F.col("id").alias("dst")))
-    cells = grid.join(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), ["src", "dst"], "left")
-    sorted_ = F.array_sort(F.collect_list(F.struct("dst", F.coalesce("w", F.lit(0)).cast("double").alias("w"))))
-    return cells.groupBy("src").agg(F.transform(sorted_, lambda x: x["w"]).alias("row"))
+    """(src, row array<double>): one row of the matrix for each node, columns by id. For export of small networks.
+
+    A node's edges become a map, which is read off in the order of all ids: the ids are one row.
+    """
+    ids = nodes.agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    cells = edges.groupBy("src", "dst").agg(F.sum("w").cast("double").alias("w")).groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "w"))).alias("of"))
+    rows = nodes.select(F.col("id").alias("src")).join(cells, "src", "left").crossJoin(F.broadcast(ids))
+    return rows.select("src", F.transform("ids", lambda d: F.coalesce(F.try_element_at("of", d), F.lit(0.0))).alias("row"))
+
+
+def ego(edges: DataFrame, centres: DataFrame) -> DataFrame:
+    """Edges that begin or end at one of the centres (id), each once."""
+    of = centres.select(F.col("id")).distinct()
+    at = edges.join(of.withColumnRenamed("id", "src").withColumn("_a", F.lit(True)), "src", "left").join(of.withColumnRenamed("id", "dst").withColumn("_b", F.lit(True)), "dst", "left")
+    return at.where("_a OR _b").select(*edges.columns)
+
+
+def degrees_of_files(vectors: DataFrame, partition: DataFrame) -> DataFrame:
+    """(id, community, degree): the values of the vector file that belongs to each community, place by place.
+
+    ``vectors`` has net_id, id (the place) and value; the nodes of a community stand in their
+    subnetwork in the order of their ids. Nodes without a value have null.
+    """
+    place = F.row_number().over(Window.partitionBy("community").orderBy("id"))
+    nodes = partition.select("id", "community", place.alias("place"))
+    values = vectors.select(F.col("net_id").alias("community"), F.col("id").alias("place"), F.col("value").alias("degree"))
+    return nodes.join(values, ["community", "place"], "left").select("id", "community", "degree")
 
 
 def from_adjacency(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -163,7 +186,7 @@ def modularity(edges: DataFrame, partition: DataFrame, resolution: float = 1.0)
     ends = rows.select(F.explode(F.array(F.struct(F.col("ci").alias("c"), F.col("w"), (F.col("ci") == F.col("cj")).alias("i")), F.struct(F.col("cj").alias("c"), F.col("w"), F.lit(False).alias("i")))).alias("e")).select("e.*")
     per = ends.groupBy("c").agg(F.sum("w").alias("d"), F.sum(F.when(F.col("i"), F.col("w")).otherwise(0)).alias("inside"))
     total = F.sum("d").cast("double") / 2.0
-    squares = F.sum(F.col("d").cast("decimal(38,0)") * F.col("d").cast("decimal(38,0)")).cast("double")
+    squares = F.sum(F.col("d").cast("double") * F.col("d").cast("double"))
     return per.agg((F.sum("inside").cast("double") / total - F.lit(resolution) * squares / (F.lit(4.0) * total * total)).alias("modularity"))
 
 

@@ -69,16 +69,23 @@ def chunks(rows: DataFrame, size: int) -> DataFrame:
     """(community, n, chunk): communities in order, as many to a chunk as have size rows together; none is split.
 
     A community of more than size rows has a chunk of its own. The fold over the communities' counts
-    carries one number pair for each, so it grows with the communities, not the rows.
+    is one task's, as each chunk begins where the one before ends: it reads a number for each community.
     """
     counts = rows.groupBy("community").agg(F.count("*").alias("n"))
-    listed = counts.agg(F.array_sort(F.collect_list(F.struct("community", "n"))).alias("all"))
-    fold = f"""aggregate(all, named_struct('chunk', 1L, 'held', 0L, 'out', cast(array() as array<struct<community:{dict(rows.dtypes)['community']},n:bigint,chunk:bigint>>)),
-        (s, x) -> if(s.held > 0 and s.held + x.n > {size},
-            named_struct('chunk', s.chunk + 1, 'held', x.n, 'out', concat(s.out, array(named_struct('community', x.community, 'n', x.n, 'chunk', s.chunk + 1)))),
-            named_struct('chunk', s.chunk, 'held', s.held + x.n, 'out', concat(s.out, array(named_struct('community', x.community, 'n', x.n, 'chunk', s.chunk))))),
-        s -> s.out)"""
-    return listed.select(F.explode(F.expr(fold)).alias("x")).select("x.*")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, held = 1, 0
+        for frame in frames:
+            out = []
+            for n in frame.n.tolist():
+                if held and held + n > size:
+                    chunk, held = chunk + 1, 0
+                held += n
+                out.append(chunk)
+            yield frame.assign(chunk=out)
+
+    one = counts.repartition(1).sortWithinPartitions("community")
+    return one.mapInPandas(fold, f"community {dict(rows.dtypes)['community']}, n long, chunk long")
 
 
 class TimedOut(Exception):
