@@ -140,26 +140,42 @@ def from_adjacency(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     return matrix.select("src", F.posexplode("row").alias("pos", "w")).where("w <> 0").join(places, "pos").select("src", "dst", "w")
 
 
+#: Pairs of one node that a task gets at least; nodes of more are split, 10,000 of them at most.
+HOT = 256
+
+
+def _neighbours(pairs: DataFrame, hot: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with m, the least b of their a.
+
+    In the order of b the first pair of an a tells; the pairs of an a in hot (a, m, parts) are dealt out over
+    parts tasks, and its m is known.
+    """
+    rows = pairs.join(F.broadcast(hot), "a", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("parts"))))
+    by = Window.partitionBy("a", "part").orderBy("b")
+    again = F.lag("b").over(by)
+    return rows.select("a", "b", F.coalesce("m", F.first("b").over(by)).alias("m"), (again.isNull() | (again != F.col("b"))).alias("once")).where("once").drop("once")
+
+
 def roots(pairs: DataFrame) -> DataFrame:
     """(node, root) for every end of the pairs (a, b): root is the smallest node that can be reached.
 
     Alternating large-star and small-star steps, so the rounds grow with the logarithm of
-    the longest path. A step deals the pairs out once, by one end, and finds each node's smallest neighbour in
-    the order of the other; each round is cut to the checkpoint folder. Loops and
-    repeated pairs count for nothing; no pairs give no rows.
+    the longest path. A step deals the pairs out by one end; nodes with more than one in
+    10,000 of the pairs, as the centre of a large star, are found first and split. Each round is cut to
+    the checkpoint folder. Loops and repeated pairs count for nothing; no pairs give no rows.
     """
-    by = Window.partitionBy("a").orderBy("b")
-    once = F.lag("b").over(by).isNull() | (F.lag("b").over(by) != F.col("b"))
-
     def state(x: DataFrame):
         return tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     e = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     before = state(e)
     while before[0]:
+        most = max(HOT, 2 * before[0] // 10_000)
+        heavy = lambda x: x.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).where(F.col("n") > most).select("a", "m", F.ceil(F.col("n") / most).alias("parts"))
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
-        large = both.select("a", "b", F.least("a", F.first("b").over(by)).alias("m"), once.alias("once")).where("once AND b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.select("a", "b", F.first("b").over(by).alias("m"), once.alias("once")).where("once")
+        hot = heavy(both)
+        large = _neighbours(both, hot).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        small = _neighbours(large, heavy(large.join(F.broadcast(hot.select("a")), "a", "left_semi")))
         e = cut(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")))
         if (now := state(e)) == before:
             break

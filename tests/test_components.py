@@ -30,6 +30,8 @@ def brute(pairs):
     [(random.Random(k).randrange(400), random.Random(-k - 1).randrange(400)) for k in range(300)] * 2,
     [(5, 5)], [],
 ], ids=["path", "pairs", "stars", "random", "loop", "none"])
-def test_roots(spark, pairs):
+@pytest.mark.parametrize("hot", [256, 4])
+def test_roots(spark, monkeypatch, pairs, hot):
+    monkeypatch.setattr(network, "HOT", hot)
     found = network.roots(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert {r.node: r.root for r in found} == brute(pairs) and len(found) == len(brute(pairs))
