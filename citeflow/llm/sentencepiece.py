@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -144,33 +145,66 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
         for batch in small(batches):
             keep = [i for i, n in enumerate(batch.schema.names) if n.lower() != "decoded"]
             ids = batch.column("ids").to_pylist()
-            texts = iter(load(path).decode_batch([x for x in ids if x is not None], skip_special_tokens=False))
-            out = pa.array([None if x is None else next(texts) for x in ids], pa.string())
+            out = pa.array([None if x is None else decoder(path)(np.array(x, "<u4")) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), out], names=[*(batch.schema.names[i] for i in keep), "decoded"])
 
     return rows.mapInArrow(run, rows.drop("decoded").schema.add("decoded", "string"))
 
 
+class Decoder:
+    """Texts of ids. Pieces without a byte among them are joined from a table, as the backend's decoder would; others go through the backend."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        state = json.loads(tokenizer.to_str())
+        steps = state["decoder"].get("decoders", [])
+        marks = [{"type": "Prepend", "prepend": MARK}, {"type": "Replace", "pattern": {"String": " "}, "content": MARK}]
+        self.marks_only = (state["normalizer"] or {}).get("normalizers") == marks
+        self.plain = [x["type"] for x in steps] == ["Replace", "ByteFallback", "Fuse", "Strip"] and steps[0]["content"] == " " and (steps[3]["start"], steps[3]["stop"]) == (1, 0)
+        self.pieces = [tokenizer.id_to_token(k).replace(MARK, " ") for k in range(tokenizer.get_vocab_size())]
+        self.bytes = np.array([len(p) == 6 and p.startswith("<0x") for p in self.pieces])
+
+    def __call__(self, ids: np.ndarray) -> str:
+        if not self.plain or self.bytes[ids].any():
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        text = "".join(map(self.pieces.__getitem__, ids.tolist()))
+        return text[1:] if text[:1] == " " else text
+
+
+    def normal(self, text: str) -> str:
+        """The text that should come back: what the normaliser makes of it, with spaces for marks and without the first."""
+        if self.marks_only or not text:
+            return text.replace(MARK, " ")
+        back = self.tokenizer.normalizer.normalize_str(text).replace(MARK, " ")
+        return back[1:] if back[:1] == " " else back
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(load(path))
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, same): each text's ids, and whether decoding them gives the text back.
 
     Where the model squeezes spaces or maps characters, the text that should come back is the
-    normalised one. A null text has no ids and null in all three.
+    normalised one. A null text has no ids and null in all three; texts of any length are read whole,
+    repeated rows stay repeated, and an empty table gives no rows.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        tokenizer, text_of = load(path), decoder(path)
         for batch in small(batches):
             texts, n, crc, same = batch.column("text").to_pylist(), [], [], []
             for text, ids in zip(texts, _encoded(tokenizer, texts)):
                 if ids is None:
                     n.append(None), crc.append(None), same.append(None)
                     continue
+                ids = np.array(ids, "<u4")
                 n.append(len(ids))
-                crc.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
-                back = tokenizer.normalizer.normalize_str(text).replace(MARK, " ") if text else ""
-                same.append(tokenizer.decode(ids, skip_special_tokens=False) == (back[1:] if back[:1] == " " else back))
+                crc.append(zlib.crc32(ids.tobytes()))
+                same.append(text_of(ids) == text_of.normal(text))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "same"])
 
     return dealt(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, same boolean")
