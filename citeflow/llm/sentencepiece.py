@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -104,8 +105,13 @@ def build(data: bytes):
     return out
 
 
+#: Threads that encode a batch in a worker; a task has one core, so more only wait for each other.
+THREADS = 2
+
+
 @lru_cache(maxsize=2)
 def load(path: str):
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the library first encodes
     with open(path, "rb") as f:
         return build(f.read())
 
