@@ -3,22 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder and go on from there."""
+def _shared(df: DataFrame) -> str:
+    """The checkpoint folder of the session, set if it isn't yet."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="citeflow-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the session's checkpoint folder and go on from there."""
+    _shared(df)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a table: a checkpoint hands on what the optimiser knows of its columns, which grows over many rounds."""
+    path = f"{_shared(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def endpoints(edges: DataFrame) -> DataFrame:
     """One row (id, w) for each end of an edge; a loop has two."""
     return edges.select(F.explode(F.array("src", "dst")).alias("id"), *(["w"] if "w" in edges.columns else []))
@@ -136,7 +150,9 @@ def degrees_of_files(vectors: DataFrame, partition: DataFrame) -> DataFrame:
 
 def from_adjacency(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of a matrix's cells that aren't 0; the matrix has src and row, nodes are its columns by id."""
-    places = nodes.select(F.col("id").alias("dst"), (F.row_number().over(Window.orderBy("id")) - 1).alias("pos"))
+    from citeflow.operators.eras import numbered
+
+    places = numbered(nodes.select(F.col("id").alias("dst")), ["dst"], "pos").withColumn("pos", F.col("pos") - 1)
     return matrix.select("src", F.posexplode("row").alias("pos", "w")).where("w <> 0").join(places, "pos").select("src", "dst", "w")
 
 
@@ -217,21 +233,94 @@ def weight_stats(edges: DataFrame) -> DataFrame:
     return edges.agg(F.avg("w").alias("mean"), F.round(F.stddev_samp("w"), 6).alias("sd"), F.expr("percentile(w, 0.5)").alias("median"))
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    """Undirected edges (src, dst, w) from either end, without loops: (v, u, w)."""
+    ends = F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("u")), F.struct(F.col("dst").alias("v"), F.col("src").alias("u")))
+    return edges.where("src <> dst").select(F.explode(ends).alias("e"), "w").select("e.v", "e.u", "w")
+
+
+def _quality(edges: DataFrame, nodes: DataFrame, scale: float) -> float:
+    """Weight inside the communities c of nodes (id, s, c) less what their sizes lead one to expect."""
+    inside = with_communities(edges, nodes.select("id", F.col("c").alias("community"))).where("ci = cj").agg(F.sum("w").alias("w")).first().w or 0.0
+    squares = nodes.groupBy("c").agg(F.sum("s").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("s")).first().s or 0.0
+    return inside - scale * squares / 2
+
+
+def _moved(edges: DataFrame, nodes: DataFrame, scale: float, part: int, parts: int, seed: int) -> DataFrame:
+    """nodes (id, s, c, big) after every big one of a part of them went to the neighbouring community that gains most."""
+    total = nodes.groupBy("c").agg(F.sum("s").alias("size"))
+    own = nodes.join(total, "c").select(F.col("id").alias("v"), F.col("c").alias("c0"), "s", F.col("size").alias("size0"))
+    turn = nodes.where("big").where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)) == part).select(F.col("id").alias("v"))
+    to = _both(edges).join(turn, "v", "left_semi").join(nodes.select(F.col("id").alias("u"), "c"), "u").groupBy("v", "c").agg(F.sum("w").alias("w"))
+    rows = to.join(own, "v").join(total, "c")
+    there, other = F.col("c") == F.col("c0"), F.col("c") != F.col("c0")
+    gain = F.col("w") - scale * F.col("s") * F.col("size")
+    stay = F.coalesce(F.max(F.when(there, F.col("w"))), F.lit(0.0)) - scale * F.first("s") * (F.first("size0") - F.first("s"))
+    best = rows.groupBy("v").agg(F.min(F.when(other, F.struct((-gain).alias("g"), "c"))).alias("b"), stay.alias("stay")).where(-F.col("b.g") > F.col("stay") + 1e-9)
+    return nodes.join(best.select(F.col("v").alias("id"), F.col("b.c").alias("_to")), "id", "left").select("id", "s", F.coalesce("_to", "c").alias("c"), "big")
+
+
+def _coarser(edges: DataFrame, nodes: DataFrame, scale: float, seed: int, least: float = 1e-3) -> DataFrame:
+    """(id, to): nodes (id, s, big) merged into connected groups, each named after its smallest node.
+
+    Nodes move in turns, a part of them at once; a turn by which the quality falls is taken back and
+    the parts are made smaller. It ends when each part's turn in a row gains less than ``least`` of the edges' weight.
+    """
+    now = written(nodes.select("id", "s", F.col("id").alias("c"), "big"))
+    weight = edges.agg(F.sum("w").alias("w")).first().w or 0.0
+    quality, parts, turn, small = _quality(edges, now, scale), 2, 0, 0
+    while small < parts and parts <= 16:
+        then = written(_moved(edges, now, scale, turn % parts, parts, seed))
+        q, turn = _quality(edges, then, scale), turn + 1
+        if q < quality - 1e-9 * weight:
+            parts, small = 2 * parts, 0
+            continue
+        small = small + 1 if q - quality < least * weight else 0
+        now, quality = then, q
+    ends = with_communities(edges, now.select("id", F.col("c").alias("community"))).where("ci = cj")
+    found = roots(ends.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("to"))
+
+
 def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, objective: str = "modularity", seed: int = 7, largest: int = 2_000_000) -> DataFrame:
-    """(id, community): Leiden communities of each weakly connected component.
+    """(id, community): Leiden communities of each weakly connected component, named after their smallest node.
 
-    Components are independent, so each is one group of ``applyInPandas``. One of more than
-    ``largest`` edges would not fit a task and is refused; thin the network first. Communities are
-    named after their smallest node.
+    Components are independent, so each is one group of ``applyInPandas``. One of more than ``largest``
+    edges would not fit a task: its nodes are first merged into connected groups by distributed rounds of
+    moves, until it is small enough or no move gains; the groups are then the nodes that a task clusters.
+    Nothing is left out. Nodes without an edge are communities of their own.
     """
     from citeflow.operators.leiden import leiden_frame
 
-    parts = components(nodes, edges)
-    rows = symmetrise(edges).join(parts.select(F.col("id").alias("src"), "component"), "src")
-    size = rows.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
-    if size > largest:
-        raise ValueError(f"a component has {size} edges; at most {largest} can be clustered in one task")
-    total = edges.agg(F.sum("w").cast("double").alias("m")).first().m or 1.0
+    rows = written(symmetrise(edges).select("src", "dst", F.col("w").cast("double").alias("w")))
+    total = rows.agg(F.sum("w").alias("m")).first().m or 1.0
+    scale = resolution / (2.0 * total) if objective == "modularity" else resolution
+    member = None  # (id, to): the group that a node is in, once there are groups
+    ends = endpoints(rows)
+    size = written(ends.groupBy("id").agg((F.sum("w") if objective == "modularity" else F.lit(1.0)).alias("s")))
+    while True:
+        points = size.select("id")
+        parts = written(components(points, rows))
+        rows_in = rows.join(parts.select(F.col("id").alias("src"), "component"), "src")
+        counts = written(rows_in.groupBy("component").agg(F.count("*").alias("n")))
+        big = counts.where(F.col("n") > largest).select("component")
+        if big.isEmpty():
+            done = None
+            break
+        at = parts.join(big.withColumn("_big", F.lit(True)), "component", "left").select("id", F.coalesce("_big", F.lit(False)).alias("big"))
+        step = written(_coarser(rows, size.join(at, "id"), scale, seed))
+        if step.where("id <> to").isEmpty():
+            done = big  # no move gains: the groups of these components are their communities
+            break
+        member = step if member is None else written(member.join(step.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to").select("id", F.col("_to").alias("to")))
+        a, b = (step.select(F.col("id").alias(c), F.col("to").alias(f"_{c}")) for c in ("src", "dst"))
+        rows = written(rows.join(a, "src").join(b, "dst").groupBy(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst")).agg(F.sum("w").alias("w")))
+        size = written(size.join(step, "id").groupBy(F.col("to").alias("id")).agg(F.sum("s").alias("s")))
+    if done is not None:
+        rows_in = rows_in.join(done, "component", "left_anti")
+    sized = rows_in.join(size.select(F.col("id").alias("src"), F.col("s").alias("src_size")), "src").join(size.select(F.col("id").alias("dst"), F.col("s").alias("dst_size")), "dst")
     run = lambda pdf: leiden_frame(pdf, total, resolution, objective, seed)
-    found = rows.groupBy("component").applyInPandas(run, "id long, community long")
+    found = sized.groupBy("component").applyInPandas(run, "id long, community long")
+    if member is not None:
+        found = member.join(found.withColumnRenamed("id", "to"), "to", "left").select("id", F.coalesce("community", "to").alias("community"))
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
