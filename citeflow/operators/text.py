@@ -45,6 +45,21 @@ def core_and_rest(texts: DataFrame, core: int = CORE) -> DataFrame:
         F.count_if(first).alias("n_core"), F.count_if(~first).alias("n_rest"))
 
 
+def core_and_start(texts: DataFrame, core: int = CORE) -> DataFrame:
+    """(community, core_text, rest_text): like ``core_and_rest``, but of the rest only the first texts that the longest core leaves room for.
+
+    It is all that ``within_budget`` reads, so no community's texts are joined beyond the length of the longest core and a text.
+    """
+    order = Window.partitionBy("community").orderBy("place")
+    rows = texts.select("community", "text", F.row_number().over(order).alias("k"))
+    cores = rows.groupBy("community").agg(join_ordered(F.when(F.col("k") <= core, F.col("text")), F.col("k")).alias("core_text"))
+    most = cores.agg(F.max(F.length("core_text")).alias("most"))
+    at = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("community").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = rows.where(F.col("k") > core).where("text IS NOT NULL").withColumn("at", at).crossJoin(F.broadcast(most)).where("at <= most + 1")
+    starts = rest.groupBy("community").agg(join_ordered(F.col("text"), F.col("k")).alias("rest_text"))
+    return cores.join(starts, "community", "left").select("community", "core_text", F.coalesce("rest_text", F.lit("")).alias("rest_text"))
+
+
 def within_budget(rows: DataFrame, threshold: int = 8000) -> DataFrame:
     """(community, theme_text, supplemented): core texts, and for short ones as much of the rest as the longest core leaves room for.
 

@@ -401,7 +401,7 @@ z AS (SELECT community, supplemented, CASE WHEN NOT supplemented THEN core_text
 
 @query(f"WITH {_THEME} SELECT community, theme_text, supplemented FROM z")
 def theme_text(spark, sf):
-    return text.within_budget(text.core_and_rest(abstracts(spark, sf)))
+    return text.within_budget(text.core_and_start(abstracts(spark, sf)))
 
 
 @query(f"WITH {_THEME} SELECT community, concat('{text.INSTRUCTION}', ' ', '{text.ABOUT}', ' ', community, ' ', '{text.BEFORE}', ' ', theme_text, ' ', '{text.AFTER}', ' ', '{text.ASK}') AS prompt FROM z")

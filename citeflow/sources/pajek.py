@@ -78,7 +78,22 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def _written(rows: DataFrame, path: str) -> None:
     """(section, ord, line) as one text file: the format is one file, so it is written by one task."""
-    rows.orderBy("section", "ord").coalesce(1).select("line").write.mode("overwrite").text(path)
+    rows.orderBy("section", "ord", *[c for c in ("dst", "weight") if c in rows.columns]).coalesce(1).select("line").write.mode("overwrite").text(path)
+
+
+def as_file(spark: SparkSession, folder: str, path: str) -> None:
+    """Move the one part file of a folder that a writer here made to ``path``, for programs that open a file; the folder goes."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(folder), hadoop.Path(path)
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [x.getPath() for x in files.listStatus(source) if x.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{folder} has {len(parts)} part files; one is expected")
+    if files.exists(target):
+        files.delete(target, False)
+    if not files.rename(parts[0], target):
+        raise OSError(f"{parts[0]} could not be moved to {path}")
+    files.delete(source, True)
 
 
 def _head(spark: SparkSession, section: int, line: Column | str, rows: DataFrame | None = None) -> DataFrame:
@@ -87,25 +102,33 @@ def _head(spark: SparkSession, section: int, line: Column | str, rows: DataFrame
     return rows.agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), F.lit(-1).cast("long").alias("ord"), F.concat(F.lit(line), F.col("n").cast("string")).alias("line"))
 
 
-def write_network(nodes: DataFrame, ties: DataFrame, path: str, directed: bool = True, tidy: bool = False, node_colour: str = "", border_colour: str = "", tie_colour: str = "") -> None:
+def write_network(nodes: DataFrame, ties: DataFrame, path: str, directed: bool = True, tidy: bool = False, node_colour: Column | str = "", border_colour: Column | str = "", tie_colour: Column | str = "") -> None:
     """A .net file of nodes (id, label[, x, y, z]) and ties (src, dst[, weight]).
 
+    A colour is one name for all or a column of the nodes or ties; null and empty ones are left out.
+
     Blank weights are 1. ``tidy`` sorts ties by both ends and keeps the first of equal pairs, the one
     of least weight. Labels are quoted, and double quotes in them become single ones.
     """
     spark = nodes.sparkSession
-    look = "".join(f" {k} {v}" for k, v in (("ic", node_colour), ("bc", border_colour)) if v)
+    def shade(kind: str, colour: Column | str) -> Column:
+        value = colour if isinstance(colour, Column) else F.lit(colour)
+        return F.when(value != "", F.concat(F.lit(f" {kind} "), value)).otherwise("")
+
+    look = F.concat(shade("ic", node_colour), shade("bc", border_colour))
     place = [F.col(c).cast("string") for c in ("x", "y", "z") if c in nodes.columns]
     label_ = F.concat(F.lit('"'), F.replace(F.coalesce("label", F.lit("")), F.lit('"'), F.lit("'")), F.lit('"'))
-    vertices = nodes.select(F.lit(0).alias("section"), F.col("id").cast("long").alias("ord"), F.concat(F.concat_ws(" ", F.col("id").cast("string"), label_, *place), F.lit(look)).alias("line"))
+    vertices = nodes.select(F.lit(0).alias("section"), F.col("id").cast("long").alias("ord"), F.concat(F.concat_ws(" ", F.col("id").cast("string"), label_, *place), look).alias("line"))
     weight = F.coalesce(F.col("weight"), F.lit(1)) if "weight" in ties.columns else F.lit(1)
-    rows = ties.select("src", "dst", weight.alias("weight"))
+    rows = ties.select("src", "dst", weight.alias("weight"), shade("c", tie_colour).alias("shade"))
     if tidy:
-        rows = rows.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+        first = F.min(F.struct("weight", "shade"))
+        rows = rows.groupBy("src", "dst").agg(first.alias("f")).select("src", "dst", "f.weight", "f.shade")
     number = F.regexp_replace(F.col("weight").cast("string"), r"\.0$", "")
-    line = F.concat(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), number), F.lit(f" c {tie_colour}" if tie_colour else ""))
-    numbered = rows.select(F.lit(1).alias("section"), F.row_number().over(Window.orderBy("src", "dst", "weight")).cast("long").alias("ord"), line.alias("line"))
-    _written(_head(spark, 0, "*Vertices ", nodes).unionAll(vertices).unionAll(_head(spark, 1, "*Arcs" if directed else "*Edges")).unionAll(numbered), path)
+    line = F.concat(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), number), F.col("shade"))
+    tied = rows.select(F.lit(1).alias("section"), F.col("src").cast("long").alias("ord"), line.alias("line"), "dst", "weight")
+    heads = _head(spark, 0, "*Vertices ", nodes).unionAll(vertices).unionAll(_head(spark, 1, "*Arcs" if directed else "*Edges"))
+    _written(heads.unionByName(tied, allowMissingColumns=True), path)
 
 
 def write_values(rows: DataFrame, column: str, path: str) -> None:
